@@ -13,7 +13,7 @@ def p3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = feature_results(feature_members(table(spark, sf_dir, "label2data")))
     return found.select(
         "saved_features", "feature_id", "members", "rows", F.round("weight_sum", 6).alias("weight_sum"), "weight_max",
-        F.round("mean_weight", 6).alias("mean_weight"), "top_doc_id", "file_members", F.round("share", 6).alias("share"),
+        F.round("mean_weight", 9).alias("mean_weight"), "top_doc_id", "file_members", F.round("share", 9).alias("share"),
     )
 
 
@@ -42,5 +42,5 @@ SQL = {
     "p3_found": _MEMBERS + "select saved_features, feature_id from files where members * 100 > file_members * 4",
     "p3_features": _MEMBERS
     + """select saved_features, feature_id, members, rows, round(weight_sum, 6) as weight_sum, weight_max,
-      round(mean_weight, 6) as mean_weight, top_doc_id, file_members, round(members / file_members, 6) as share from files""",
+      round(mean_weight, 9) as mean_weight, top_doc_id, file_members, round(members / file_members, 9) as share from files""",
 }
