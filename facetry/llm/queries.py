@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import encode, packing, pieces, terms, topn
+from facetry.llm import distinct, encode, packing, pieces, terms, topn, varied
 from facetry.llm.sql import SQL
 from facetry.sources.tables import table
 
@@ -40,6 +40,32 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("piece = 0 and record_cut is not null").select("corpus", "doc_id", F.col("record_cut").alias("cut"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = varied.same_groups(varied.theta_rows(table(spark, d, "theta")))
+    return groups.select(F.col("root").alias("group_doc_id"), F.col("node").alias("doc_id"))
+
+
+def p4_subset(spark: SparkSession, d: str) -> DataFrame:
+    return varied.one_of_each(table(spark, d, "theta"), table(spark, d, "topic2doc_dist"), 300)
+
+
+def p6_terms(spark: SparkSession, d: str) -> DataFrame:
+    """All terms with score; the model's probability to 4 places."""
+    found = distinct.distinctive(table(spark, d, "wikitext"), table(spark, d, "topic2word_dist"), table(spark, d, "vocab"))
+    return found.withColumn("probability", F.round("probability", 4))
+
+
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of all terms to 6 places, which SQL can express."""
+    found = distinct.distinctive(table(spark, d, "wikitext"), table(spark, d, "topic2word_dist"), table(spark, d, "vocab"))
+    return found.select("owner", "owner_id", "term", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = distinct.distinctive(table(spark, d, "wikitext"), table(spark, d, "topic2word_dist"), table(spark, d, "vocab"), best=True)
+    return found.select("owner", "owner_id", "term")
+
+
 def _strongest(spark: SparkSession, d: str) -> DataFrame:
     return topn.strongest(table(spark, d, "topic2doc_dist"), table(spark, d, "theta"))
 

@@ -32,6 +32,20 @@ cells as (
 ranked as (select *, row_number() over (partition by kind, group_id order by score desc, item_id)::int as place from cells)
 """
 
+_DISTINCT = f"""
+with {_WIKI},
+cells as (select doc_id, unnest({_SPLIT.format("tokens")}) as term from latest),
+n as (select doc_id, term, count(*) as n from cells where term <> '' group by all),
+d as (select term, count(*) as d from n group by 1),
+words as (select word_id, lower(nfc_normalize(trim(word))) as term from vocab),
+p as (select topic_id, unnest(range(len(p))) as word_id, coalesce(unnest(p), 0) as p from topic2word_dist),
+mean as (select word_id, sum(p) / (select count(*) from topic2word_dist) as m from p group by 1),
+scores as (
+  select 'doc' as owner, doc_id as owner_id, term, n * ln((select count(distinct doc_id) from n) / d) as score from n join d using (term)
+  union all
+  select 'topic', topic_id, term, case when p > 0 then p * ln(p / m) else 0 end from p join mean using (word_id) join words using (word_id) where term <> '')
+"""
+
 SQL = {
     "p1_terms": _TERMS + "select term, occurrences, records, in_vocab, mark from marked",
     "p1_found": _TERMS + "select term, mark from marked where mark is not null",
@@ -39,6 +53,8 @@ SQL = {
     + r"""select corpus, doc_id, case when list_max(list_transform(regexp_split_to_array(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: length(x))) > 2000
       then 'hard' else 'soft' end as cut from texts where length(text) > 2000""",
     "p2_cores": _TEXTS + "select corpus, doc_id, md5(text) as digest, false as too_long from texts where text is not null",
+    "p6_scores": _DISTINCT + "select owner, owner_id, term, round(score, 6) + 0.0 as score from scores",
+    "p6_found": _DISTINCT + "select owner, owner_id, term from scores qualify row_number() over (partition by owner, owner_id order by round(score, 9) desc, term) = 1",
     "p7_ranked": _TOP + "select kind, group_id, item_id, score, place from ranked where place <= n",
     "p7_found": _TOP + "select kind, group_id, item_id from ranked where place <= n",
     "p8_round_trip": "select doc_id, md5(coalesce(text, '')) as digest from documents",
