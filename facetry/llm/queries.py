@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import distinct, encode, packing, pieces, terms, topn, varied
+from facetry.llm import clusters, distinct, encode, packing, pieces, terms, topn, varied
 from facetry.llm.sql import SQL
 from facetry.sources.tables import table
 
@@ -49,6 +49,16 @@ def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied.one_of_each(table(spark, d, "theta"), table(spark, d, "topic2doc_dist"), 300)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, leaves, counts = clusters.prepared(table(spark, d, "wikitext"), table(spark, d, "doc2topic_dist"))
+    return clusters.alike_groups(rows, leaves, counts).select(F.col("root").alias("cluster_doc_id"), F.col("node").alias("doc_id"))
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    _, leaves, _ = clusters.prepared(table(spark, d, "wikitext"), table(spark, d, "doc2topic_dist"))
+    return clusters.typical(leaves)
+
+
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     """All terms with score; the model's probability to 4 places."""
     found = distinct.distinctive(table(spark, d, "wikitext"), table(spark, d, "topic2word_dist"), table(spark, d, "vocab"))
@@ -56,9 +66,9 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The scores of all terms to 6 places, which SQL can express."""
+    """The scores of all terms, which SQL can express."""
     found = distinct.distinctive(table(spark, d, "wikitext"), table(spark, d, "topic2word_dist"), table(spark, d, "vocab"))
-    return found.select("owner", "owner_id", "term", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+    return found.select("owner", "owner_id", "term", "score")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -53,7 +53,7 @@ SQL = {
     + r"""select corpus, doc_id, case when list_max(list_transform(regexp_split_to_array(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: length(x))) > 2000
       then 'hard' else 'soft' end as cut from texts where length(text) > 2000""",
     "p2_cores": _TEXTS + "select corpus, doc_id, md5(text) as digest, false as too_long from texts where text is not null",
-    "p6_scores": _DISTINCT + "select owner, owner_id, term, round(score, 6) + 0.0 as score from scores",
+    "p6_scores": _DISTINCT + "select owner, owner_id, term, round(score, 9) + 0.0 as score from scores",
     "p6_found": _DISTINCT + "select owner, owner_id, term from scores qualify row_number() over (partition by owner, owner_id order by round(score, 9) desc, term) = 1",
     "p7_ranked": _TOP + "select kind, group_id, item_id, score, place from ranked where place <= n",
     "p7_found": _TOP + "select kind, group_id, item_id from ranked where place <= n",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -18,31 +19,44 @@ SLOT_ROWS, CELL_ROWS, MOST_COORDINATES = 4096, 4096, 24
 SAME, WIDTH = 0.999, 0.25
 
 
-def clean(values: Column) -> Column:
-    """The array with null, NaN, infinite and negative elements as 0."""
-    return F.transform(values, lambda x: F.when((x > 0) & ~F.isnan(x) & (x < F.lit(math.inf)), x.cast("double")).otherwise(F.lit(0.0)))
+def unit_rows(rows: DataFrame, col: str, width: int) -> DataFrame:
+    """(doc_id, v, same): the array ``col`` of each row scaled to length 1, and a digest that equal arrays share.
 
+    Null, NaN, infinite and negative elements count as 0; rows whose array is null, empty or
+    all 0 are left out. Arrays are filled up with 0 to ``width``, which none may exceed.
+    """
 
-def unit(values: Column) -> Column:
-    """The array divided by its length; an all-zero array becomes null."""
-    size = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(size > 0, F.transform(values, lambda x: x / size))
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            x = np.zeros((len(sizes), max(width, 0)))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
+            flat = np.where(np.isfinite(flat) & (flat > 0), flat, 0.0)
+            x[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            kept = np.flatnonzero((norm > 0) & np.isfinite(norm))
+            digests = [hashlib.blake2b(x[i].tobytes(), digest_size=16).digest() for i in kept]
+            v = x[kept] / norm[kept, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, max(1, width), dtype="int32")), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), lists, pa.array(digests, pa.binary())], names=["doc_id", "v", "same"])
+
+    return rows.where(F.size(col) > 0).select("doc_id", col).mapInArrow(run, "doc_id bigint, v array<double>, same binary")
 
 
 def theta_rows(theta: DataFrame) -> DataFrame:
-    """(doc_id, v): the latest theta of each record, cleaned, of one width; null and all-zero rows left out."""
-    rows = latest(theta.where("doc_id is not null"), ["doc_id"], ["theta"]).where("theta is not null")
+    """:func:`unit_rows` of the latest theta of each record."""
     width = theta.agg(F.max(F.size("theta"))).head()[0] or 0
-    padded = F.concat(clean(F.col("theta")), F.array_repeat(F.lit(0.0), F.lit(width) - F.size("theta")))
-    return rows.select("doc_id", padded.alias("v")).where(F.exists("v", lambda x: x > 0))
+    return unit_rows(latest(theta.where("doc_id is not null"), ["doc_id"], ["theta"]), "theta", width)
 
 
-def topic_rows(topic2doc: DataFrame) -> DataFrame:
-    """(doc_id, t): the latest positive topic weights of each record as an array."""
+def topic_rows(topic2doc: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, v, same): :func:`unit_rows` of the latest topic weights of each record, and their width."""
     width = (topic2doc.agg(F.max("topic_id")).head()[0] or 0) + 1
     pairs = latest(topic2doc.where("topic_id >= 0 and doc_id is not null"), ["topic_id", "doc_id"], ["weight"]).where("weight > 0 and not isnan(weight)")
     cells = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("topic_id", "weight"))).alias("m"))
-    return cells.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("t"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return unit_rows(cells.select("doc_id", dense.alias("t")), "t", width), width
 
 
 def _matrix(column) -> np.ndarray:
@@ -179,7 +193,7 @@ def _thinned(cells: DataFrame, hot: DataFrame, apart: float) -> tuple[DataFrame,
 def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     """(node, root): groups of records that say the same, every member but the smallest doc_id with that doc_id.
 
-    ``rows`` (doc_id, v) hold unique ids and vectors with a positive element. Two records say the
+    ``rows`` (doc_id, v, same) come from :func:`unit_rows`. Two records say the
     same if the cosine of their vectors is at least ``same``; groups are the connected sets.
 
     Method: equal vectors are one row from the start. Tournament-pivoted QR gives the directions
@@ -190,14 +204,14 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     Cells give stars, not pairs, whose connected components are found without the driver.
     """
     apart = math.sqrt(max(0.0, 2 - 2 * same)) + 1e-9
-    rows = stored(rows.withColumn("h", F.xxhash64("v")))
-    firsts = rows.groupBy("h", "v").agg(F.min("doc_id").alias("root"))
-    equal = rows.join(firsts, ["h", "v"]).where("doc_id <> root").select("doc_id", "root")
-    units = stored(firsts.select(F.col("root").alias("doc_id"), unit(F.col("v")).alias("v")))
+    rows = stored(rows)
+    firsts = rows.groupBy("same").agg(F.min("doc_id").alias("root"))
+    equal = rows.select("doc_id", "same").join(firsts, "same").where("doc_id <> root").select("doc_id", "root")
+    units = stored(rows.join(firsts.select(F.col("root").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "v"))
     n = units.count()
     if n < 2:
         return connected_components(equal)
-    basis = directions(units, min(MOST_COORDINATES, max(1, math.ceil(math.log2(n / 256 + 1) / 1.2))), n)
+    basis = directions(units, min(MOST_COORDINATES, max(1, math.ceil(math.log2(n / 96 + 1) / 1.2))), n)
     cells = _in_cells(units, basis, apart)
     found = equal
     rows_in, hot = None, _hot(cells)
@@ -264,8 +278,8 @@ def one_of_each(theta: DataFrame, topic2doc: DataFrame, k: int) -> DataFrame:
     """
     rows = stored(theta_rows(theta))
     groups = same_groups(rows)
-    topics = topic_rows(topic2doc).select("doc_id", unit(F.col("t")).alias("t"))
-    width = topics.agg(F.max(F.size("t"))).head()[0] or 0
+    topics, width = topic_rows(topic2doc)
+    topics = topics.select("doc_id", F.col("v").alias("t"))
     single = rows.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").join(topics, "doc_id", "left")
-    side = F.concat(unit(F.col("v")), F.coalesce("t", F.array_repeat(F.lit(0.0), width)))
+    side = F.concat("v", F.coalesce("t", F.array_repeat(F.lit(0.0), width)))
     return varied_subset(single.select("doc_id", side.alias("v")), k)
