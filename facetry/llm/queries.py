@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import clusters, distinct, encode, packing, pieces, terms, topn, varied
+from facetry.llm import clusters, distinct, encode, packing, pieces, subjects, terms, topn, varied
 from facetry.llm.sql import SQL
 from facetry.sources.tables import table
 
@@ -112,6 +112,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).where("n_pieces > 1 and piece = 0").select("doc_id")
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, d, n) for n in ("documents", "subject_labels", "wikitext", "bills", "subject_areas")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents").count())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
 
