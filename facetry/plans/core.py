@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetry.plans import skewed
+from facetry.plans import reference, skewed
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skewed.QUERIES["p3_features"](spark, sf_dir)
+    return reference.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(skewed.QUERIES)
+    return reference.QUERIES | skewed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(skewed.SQL)
+    return reference.SQL | skewed.SQL
