@@ -19,8 +19,9 @@ from facetry.sources.tables import latest, stored
 LABELLED = 12_000
 #: Rows of the table of word and subword vectors, their width, and the lengths of subwords.
 BUCKETS, WIDTH, SUBWORDS = 1 << 16, 16, (4, 5)
-#: Partitions that learn side by side, rounds after which they synchronise, step size.
-LEARNERS, ROUNDS, RATE = 4, 5, 0.5
+#: Partitions that learn side by side, rounds after which they synchronise, gradient steps that each
+#: partition takes at least (small data take more rounds), sentences of a step, step size.
+LEARNERS, ROUNDS, LEAST_STEPS, SENTENCES, RATE = 4, 5, 150, 128, 0.5
 #: Output from which a sentence treats an area beyond doubt, and by how much context may lift others.
 SURE, CONTEXT = 2.0, 1.5
 #: Words of a sentence whose vectors are remembered by a worker.
@@ -179,7 +180,7 @@ def _step(areas: list[str], now, turn: int, rate: float):
             for s in sentences(pairs[i][0]):
                 found.append(s)
                 wanted.append(place[pairs[i][1]])
-                if len(found) == 512:
+                if len(found) == SENTENCES:
                     flush()
         flush()
         ended = learn(start, batches, rate)
@@ -198,13 +199,14 @@ def train(rows: DataFrame, areas: list[str], learners: int = LEARNERS, rounds: i
     subjects alike, so its words learn to speak for none. The rows are spread over ``learners``
     partitions by hash. In every round each partition takes one gradient step for each
     batch of its sentences, starting from the same parameters; the changes are averaged on the
-    driver (whose part is bounded by the size of the model) and sent out again.
+    driver (at least ``rounds`` times, and until each has taken :data:`LEAST_STEPS` steps; its part is bounded by the size of the model) and sent out again.
     """
     spark = rows.sparkSession
     model = Model.fresh(areas)
     data = stored(rows.select(F.pmod(F.xxhash64("text"), F.lit(learners)).cast("int").alias("part"), "text", "subject"))
 
-    for turn in range(rounds):
+    turn = steps = 0
+    while turn < rounds or steps < LEAST_STEPS:
         now = spark.sparkContext.broadcast((model.vectors, model.out, model.bias))
         step = _step(areas, now, turn, rate)
         parts = data.groupBy("part").applyInArrow(step, _STATE).toArrow().to_pylist()
@@ -223,6 +225,7 @@ def train(rows: DataFrame, areas: list[str], learners: int = LEARNERS, rounds: i
             bias += np.frombuffer(p["bias"], "float32") * (p["rows"] / total)
         model = Model(areas, vectors + moved / np.maximum(heard, 1)[:, None], out, bias)
         now.unpersist()
+        turn, steps = turn + 1, steps + -(-total // (SENTENCES * learners))
     return model
 
 
