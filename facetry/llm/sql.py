@@ -32,6 +32,27 @@ cells as (
 ranked as (select *, row_number() over (partition by kind, group_id order by score desc, item_id)::int as place from cells)
 """
 
+_CLOSED = """,
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select min(b) as {root}, a as doc_id from reach group by a having min(b) < a"""
+
+_SAME = """
+with recursive rows as (select doc_id, arg_max_null(theta, loaded_at) as theta from theta group by 1),
+clean as (select doc_id, list_transform(theta, lambda x: case when x > 0 and not isnan(x) then x else 0 end) as v from rows where theta is not null),
+units as (select doc_id, list_transform(v, lambda x: x / sqrt(n)) as v from (select *, list_inner_product(v, v) as n from clean) where n > 0),
+links as (select x.doc_id as a, y.doc_id as b from units x join units y on x.doc_id <> y.doc_id where list_inner_product(x.v, y.v) >= 0.999)"""
+
+_ALIKE = f"""
+with recursive {_WIKI},
+sets as (select doc_id, list_filter(list_distinct({_SPLIT.format("coalesce(tokens, '')")}), lambda t: t <> '') as terms from latest),
+topics as (select doc_id, list_transform(arg_max_null(p, loaded_at), lambda x: coalesce(x, 0)) as p from doc2topic_dist group by 1),
+pairs as (select x.doc_id as a, y.doc_id as b, x.terms as s, y.terms as t from sets x join sets y on x.doc_id <> y.doc_id),
+links as (
+  select a, b from (select *, len(list_intersect(s, t)) as n from pairs where len(s) > 0 and len(t) > 0) where 2 * n >= len(s) + len(t) - n
+  union all
+  select a, b from pairs join topics p on p.doc_id = a join topics q on q.doc_id = b
+  where (len(s) = 0 or len(t) = 0) and list_sum(list_transform(list_zip(p.p, q.p), lambda z: abs(z[1] - z[2]))) <= 0.02 + 1e-12)"""
+
 _DISTINCT = f"""
 with {_WIKI},
 cells as (select doc_id, unnest({_SPLIT.format("tokens")}) as term from latest),
@@ -53,6 +74,8 @@ SQL = {
     + r"""select corpus, doc_id, case when list_max(list_transform(regexp_split_to_array(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: length(x))) > 2000
       then 'hard' else 'soft' end as cut from texts where length(text) > 2000""",
     "p2_cores": _TEXTS + "select corpus, doc_id, md5(text) as digest, false as too_long from texts where text is not null",
+    "p4_found": _SAME + _CLOSED.format(root="group_doc_id"),
+    "p5_found": _ALIKE + _CLOSED.format(root="cluster_doc_id"),
     "p6_scores": _DISTINCT + "select owner, owner_id, term, round(score, 9) + 0.0 as score from scores",
     "p6_found": _DISTINCT + "select owner, owner_id, term from scores qualify row_number() over (partition by owner, owner_id order by round(score, 9) desc, term) = 1",
     "p7_ranked": _TOP + "select kind, group_id, item_id, score, place from ranked where place <= n",
