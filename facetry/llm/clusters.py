@@ -20,7 +20,7 @@ from facetry.sources.tables import latest, stored
 
 #: Places that terms are hashed to, weight of the topic part, Lloyd passes for each level of splits.
 PLACES, TOPIC_WEIGHT, PASSES = 96, 0.7, 2
-#: A leaf is compact at this root mean square distance from its centre or with this few rows; most leaves.
+#: A leaf is compact at this root mean square distance from its centre; with this few rows it fits into a task; most leaves of the passes over all rows.
 RADIUS, FEW_ROWS, MOST_LEAVES = 0.45, 4096, 1024
 #: Two records are alike at this Jaccard similarity of terms, or this L1 distance of topics.
 ALIKE, TOPICS_APART = 0.5, 0.02
@@ -97,9 +97,9 @@ def _sums(rows: DataFrame, tree: Tree, width: int) -> dict[int, tuple[int, np.nd
 def bisect(rows: DataFrame, width: int, radius: float = RADIUS, few: int = FEW_ROWS, most: int = MOST_LEAVES) -> tuple[Tree, dict[int, tuple[int, np.ndarray, float]]]:
     """The tree of a bisecting k-means over ``rows`` (v), and (rows, centre, mean squared distance) of each leaf.
 
-    The leaves of largest dispersion (summed squared distance) are split until each is compact:
-    within ``radius`` (root mean square), of at most ``few`` rows, or no longer divisible; at most
-    ``most`` leaves are made. All leaves due are split in the same passes over the rows, the most
+    The leaves of largest dispersion (summed squared distance) are split until each is compact,
+    within ``radius`` (root mean square), or a block of at most ``few`` rows, however dispersed, or
+    no longer divisible; at most ``most`` leaves are made. All leaves due are split in the same passes over the rows, the most
     dispersed first where the bound leaves room for only some, so the number of passes grows
     with the depth, not with the leaves, and the last Lloyd pass of a level gives the dispersions that
     decide on the next. A split starts at the centre, shifted both ways by one
@@ -247,17 +247,76 @@ def assigned(vectors: DataFrame, tree: Tree, leaves: dict[int, tuple[int, np.nda
     return vectors.select("doc_id", "v").mapInArrow(run, "doc_id bigint, leaf bigint, distance double")
 
 
-def partition(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, leaf, distance) of every record by bisecting k-means over all of them, stored."""
+def stored_vectors(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, v) of every record, stored, and how long each v is."""
     n = rows.count()
     width = rows.agg(F.max(F.size("p"))).head()[0] or 0
     common = counts.where(F.col("d") > max(2, n // 200)).orderBy(F.col("d").desc(), "term").limit(4096).collect()
     idf = {r["term"]: math.log((n + 1) / r["d"]) for r in common} | {None: math.log(201.0)}
-    vectors = stored(record_vectors(rows, width, idf))
-    tree, leaves = bisect(vectors, PLACES + width)
+    return stored(record_vectors(rows, width, idf)), PLACES + width
+
+
+def partition(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, leaf, distance) of every record by bisecting k-means over all of them, stored.
+
+    The leaves are blocks for :func:`term_links`, of any dispersion; :func:`compact` has clusters.
+    """
+    vectors, width = stored_vectors(rows, counts)
+    tree, leaves = bisect(vectors, width)
     return stored(assigned(vectors, tree, leaves))
 
 
+def _settle(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each row and its distance from the part's centre: ``x`` bisected as in :func:`bisect` until every part is within ``radius``."""
+    part, far, todo, parts = np.zeros(len(x), "int64"), np.zeros(len(x)), [np.arange(len(x))], 0
+    while todo:
+        rows = todo.pop()
+        y = x[rows]
+        center = y.mean(0)
+        apart = ((y - center) ** 2).sum(1)
+        if len(rows) == 1 or apart.mean() <= radius * radius:
+            part[rows], far[rows] = parts, np.sqrt(apart)
+            parts += 1
+            continue
+        j = int(np.argmax(y.var(0)))
+        right = y[:, j] > center[j]
+        for _ in range(PASSES):
+            a, b = y[~right].mean(0), y[right].mean(0)
+            new = y @ (b - a) > (b @ b - a @ a) / 2
+            if new.all() or not new.any():
+                break
+            right = new
+        todo += [rows[right], rows[~right]]
+    return part, far
+
+
+def compact(rows: DataFrame, counts: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """(doc_id, leaf, distance) of every record, stored; every leaf is within ``radius`` (root mean square).
+
+    The passes of :func:`bisect` go on only until a leaf fits into a task; each leaf that is not
+    compact by then is split further in one task, down to single records where need be. A leaf's
+    number is its node's in the upper 32 bits and the part's in the lower.
+    """
+    vectors, width = stored_vectors(rows, counts)
+    tree, leaves = bisect(vectors, width, radius)
+    loose = [int(k) for k, (_, _, var) in leaves.items() if var > radius * radius]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = tree.leaf_of(_vectors(b.column(1)))
+            kept = np.flatnonzero(np.isin(leaf, loose))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(leaf[kept]), b.column(1).take(pa.array(kept))], names=["doc_id", "leaf", "v"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        part, far = _settle(_vectors(table["v"].combine_chunks()).astype("float64"), radius)
+        return pa.table({"doc_id": table["doc_id"], "leaf": pa.array((table["leaf"].to_numpy() << 32) + part), "distance": pa.array(far)})
+
+    split = vectors.select("doc_id", "v").mapInArrow(place, "doc_id bigint, leaf bigint, v array<float>").groupBy("leaf").applyInArrow(settle, "doc_id bigint, leaf bigint, distance double")
+    whole = assigned(vectors, tree, leaves).where(~F.col("leaf").isin(loose)).withColumn("leaf", F.shiftleft("leaf", 32))
+    return stored(whole.unionByName(split))
+
+
 def typical(rows: DataFrame, per_cluster: int = 5) -> DataFrame:
     """(cluster, size, spread, place, doc_id, distance): each leaf with its members nearest to the centre.
 

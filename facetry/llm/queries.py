@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm import clusters, distinct, encode, packing, pieces, subjects, terms, topn, varied
 from facetry.llm.sql import SQL
-from facetry.sources.tables import table
+from facetry.sources.tables import stored, table
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +55,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    _, leaves, _ = clusters.prepared(table(spark, d, "wikitext"), table(spark, d, "doc2topic_dist"))
-    return clusters.typical(leaves)
+    rows = stored(clusters.records(table(spark, d, "wikitext"), table(spark, d, "doc2topic_dist")))
+    return clusters.typical(clusters.compact(rows, stored(clusters.term_counts(rows))))
 
 
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -184,6 +184,25 @@ def test_alike_records(spark, monkeypatch):
         assert (len({r.cluster for r in report}) > 1) == (few == 8)
 
 
+def test_clusters_keep_to_the_radius(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(f"u{i}x{j}" for j in range(12))) for i in range(40)]
+    shared = [[f"s{g}x{j}" for j in range(20)] for g in range(3)]
+    texts += [(100 * (g + 1) + i, " ".join(s)) for g, s in enumerate(shared) for i in range(5)]
+    wiki = frame(spark, texts, "doc_id bigint, tokenized_text string")
+    dist = frame(spark, [(i, [1.0, 0.5 * (i < 20)]) for i, _ in texts], "doc_id bigint, p array<double>")
+    rows, _, counts = clusters.prepared(wiki, dist)
+    leaves = clusters.compact(rows, counts)
+    report = clusters.typical(leaves).collect()
+    assert all(r.spread <= clusters.RADIUS for r in report)
+    assert sum({r.cluster: r.size for r in report}.values()) == len(texts)
+    of = {r.doc_id: r.leaf for r in leaves.collect()}
+    assert len(of) == len(texts) and len(set(of.values())) > 3
+    assert all(len({of[100 * (g + 1) + i] for i in range(5)}) == 1 for g in range(3))
+    part, far = clusters._settle(rng.normal(size=(300, 5)), 0.3)
+    assert all(np.sqrt((far[part == k] ** 2).mean()) <= 0.3 for k in np.unique(part))
+
+
 # 6
 
 
