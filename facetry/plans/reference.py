@@ -186,6 +186,13 @@ def tokenize_lower(s, d):
     return rows.select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(w, "|")).alias("words"))
 
 
+@query()
+def tokenize_lower_all(s, d):
+    """As tokenize_lower, over every text; without SQL, as DuckDB lower-cases some letters beyond ASCII differently."""
+    w = tx.words_lower(F.col("text"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(w, "|")).alias("words"))
+
+
 @query(f"with {C_ART} select distinct unnest(string_split(tokenized_text, ' ')) as word from art where tokenized_text is not null")
 def vocabulary(s, d):
     return articles(s, d).where("tokenized_text is not null").select(F.explode(F.split("tokenized_text", " ")).alias("word")).distinct()

@@ -1,5 +1,6 @@
 """Edge cases of the core operators."""
 
+import hashlib
 import json
 import math
 
@@ -13,6 +14,7 @@ from facetry.operators import activations as ac
 from facetry.operators import annotate, coherence, features, metrics, sae, sampling, selection, skew
 from facetry.operators.components import connected_components
 from facetry.operators.ranking import grouped_rank
+from facetry.plans import reference
 from facetry.sources import json_io
 from facetry.sources.tables import latest, stored
 
@@ -133,6 +135,14 @@ def literal_dpp(v, w, k):
     return picked
 
 
+def test_words_of_every_text(spark, tmp_path):
+    texts = [(1, "Plain  ASCII "), (2, "Émile ÄRGER"), (3, "ΟΔΟΣ ΣΑΣ"), (4, "İstanbul K"), (5, "МОСКВА 東京"), (6, ""), (7, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.words) for r in reference.QUERIES["tokenize_lower_all"](spark, str(tmp_path)).collect()}
+    words = {i: t.lower().split(" ") for i, t in texts if t is not None}
+    assert got == {i: (len(w), hashlib.md5("|".join(w).encode()).hexdigest()) for i, w in words.items()}
+
+
 def test_dpp_equals_the_literal_formulation(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(30, 8))
