@@ -509,7 +509,7 @@ def sae_train(s, d):
 def lda_topics(s, d):
     """Ten words of each of ten topics of the wikitext records."""
     docs = articles(s, d).where("tokenized_text is not null").select("doc_id", F.split(F.lower("tokenized_text"), " ").alias("t"))
-    found = topics.fit_topics(docs, "t", 10, max_iterations=20)
+    found = topics.fit_topics(docs, "t", 10)
     arrays = found["topic_word"].groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "p"))).alias("c")).select("topic_id", F.transform("c", lambda x: x["p"]).alias("p"))
     return ft.top_words(arrays, found["vocab"]).select("topic_id", "place", "word")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from facetry.functions import text as tx
 from facetry.functions.keys import feature_number
 from facetry.operators import activations as ac
-from facetry.operators import annotate, coherence, features, metrics, sae, sampling, selection, skew
+from facetry.operators import annotate, coherence, features, metrics, sae, sampling, selection, skew, topics
 from facetry.operators.components import connected_components
 from facetry.operators.ranking import grouped_rank
 from facetry.plans import reference
@@ -212,6 +212,19 @@ def test_autoencoder_learns(spark, tmp_path):
     assert ((np.array(list(got.values())) > 0).sum(1) <= 3).all()
 
 
+def test_topics_of_all_documents_and_words(spark):
+    docs = [(i, [f"{'ab'[i % 2]}{(i // 2 + j) % 5}" for j in range(6)] + [f"only{i}"]) for i in range(40)] + [(99, [])]
+    found = topics.fit_topics(spark.createDataFrame(docs, "doc_id bigint, t array<string>"), "t", 2, max_iterations=200)
+    assert {r.word for r in found["vocab"].collect()} == {w for _, t in docs for w in t}
+    assert [r.n for r in found["doc_topic"].groupBy("topic_id").agg(F.count("doc_id").alias("n")).collect()] == [41, 41]
+    words = {r.word_id: r.word for r in found["vocab"].collect()}
+    most = {words[r.word_id]: r.p for r in found["topic_word"].groupBy("word_id").agg(F.max("p").alias("p")).collect()}
+    own = [most[f"only{i}"] for i in range(40)]
+    assert max(own) < 3 * min(own)  # each record has been learnt from alike
+    assert not topics._ended([-9.0, -8.0, -8.0, -8.0]) and not topics._ended([-7.0, -8.0, -9.0])
+    assert topics._ended([-9.0, -7.0, -8.0, -9.0])
+
+
 def test_json_round_trips(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "a.json").write_text("\n".join(json.dumps({"id": str(i), "text": f"t{i}", "tokenized_text": "x y"}) for i in range(5)))
