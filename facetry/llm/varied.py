@@ -273,13 +273,14 @@ def varied_subset(rows: DataFrame, k: int) -> DataFrame:
 def one_of_each(theta: DataFrame, topic2doc: DataFrame, k: int) -> DataFrame:
     """(doc_id, round, place): ``k`` varied records, at most one of each group that says the same.
 
-    A record is its theta row and its topic weights, each scaled to length 1, side by side; of a
-    group only the smallest doc_id can be taken.
+    A record is its theta row and its topic weights, each scaled to length 1, side by side; where one
+    is missing or all 0, that side is 0. Groups go by theta; of a group only the smallest doc_id can be taken.
     """
     rows = stored(theta_rows(theta))
     groups = same_groups(rows)
+    seen = rows.agg(F.max(F.size("v"))).head()[0] or 0
     topics, width = topic_rows(topic2doc)
-    topics = topics.select("doc_id", F.col("v").alias("t"))
-    single = rows.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").join(topics, "doc_id", "left")
-    side = F.concat("v", F.coalesce("t", F.array_repeat(F.lit(0.0), width)))
+    both = rows.select("doc_id", "v").join(topics.select("doc_id", F.col("v").alias("t")), "doc_id", "full")
+    single = both.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    side = F.concat(*[F.coalesce(c, F.array_repeat(F.lit(0.0), n)) for c, n in (("v", seen), ("t", width))])
     return varied_subset(single.select("doc_id", side.alias("v")), k)

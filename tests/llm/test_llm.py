@@ -126,6 +126,14 @@ def test_groups_and_subsets_with_a_hot_group(spark, monkeypatch):
     assert varied.same_groups(varied.theta_rows(theta.limit(0))).count() == 0
 
 
+def test_subset_covers_topics_of_records_without_theta(spark):
+    theta = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0])], "doc_id bigint, theta array<double>")
+    pairs = frame(spark, [(0, 1, 0.5), (1, 3, 0.5), (2, 4, 0.5), (3, 5, 0.5), (4, 6, 0.5), (4, 7, 0.0)], "topic_id int, doc_id bigint, weight double")
+    assert {r.doc_id for r in varied.one_of_each(theta, pairs, 10).collect()} == {1, 2, 4, 5, 6}  # 3 says the same as 2
+    assert {r.doc_id for r in varied.one_of_each(theta.limit(0), pairs, 10).collect()} == {1, 3, 4, 5, 6}
+    assert {r.doc_id for r in varied.one_of_each(theta, pairs.limit(0), 10).collect()} == {1, 2}
+
+
 def test_pivots_span_the_rows():
     rng = np.random.default_rng(0)
     x = rng.random((200, 5)) @ rng.random((5, 30))
