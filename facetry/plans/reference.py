@@ -397,6 +397,21 @@ def npmi_coherence(s, d):
     return coherence.npmi(docs, "t", words).withColumn("npmi", r("npmi"))
 
 
+@query(f"""with {C_ART}, d as (select doc_id, string_split(lower(text), ' ') as t from art where text is not null),
+ w as (select topic_id, lower(word) as word from (select topic_id, word_id, row_number() over (partition by topic_id order by p desc, word_id) as k from (select topic_id, unnest(range(len(p))) as word_id, unnest(p) as p from topic2word_dist) where p is not null) join vocab using (word_id) where k <= 10),
+ win as (select doc_id, unnest(range(greatest(len(t) - 10, 0) + 1)) as s, t from d), total as (select count(*) as n from win),
+ hit as (select distinct doc_id, s, word from (select doc_id, s, unnest(list_distinct(t[s + 1 : s + 10])) as word from win) where word in (select word from w)),
+ one as (select word, count(*) as c from hit group by 1), two as (select a.word as a, b.word as b, count(*) as c from hit a join hit b using (doc_id, s) where a.word <> b.word group by all),
+ pairs as (select x.topic_id, x.word as a, y.word as b, coalesce(two.c, 0) / n + 1e-12 as p, oa.c / n as pa, ob.c / n as pb from w x join w y on x.topic_id = y.topic_id and x.word <> y.word
+  join one oa on oa.word = x.word join one ob on ob.word = y.word left join two on two.a = x.word and two.b = y.word, total)
+ select topic_id, round(avg(ln(p / (pa * pb)) / -ln(p)), 6) as npmi, count(*) as pairs from pairs group by 1""")
+def npmi_coherence_text(s, d):
+    """As npmi_coherence, over the articles' raw texts as in the reference."""
+    words = ft.top_words(table(s, d, "topic2word_dist"), table(s, d, "vocab")).select("topic_id", F.lower("word").alias("word"))
+    docs = articles(s, d).where("text is not null").select(tx.words_lower(F.col("text")).alias("t"))
+    return coherence.npmi(docs, "t", words).withColumn("npmi", r("npmi"))
+
+
 @query(f"""with {C_DT}, {C_ART}, x as (select first(feature_id order by weight desc, feature_id) as pred, doc_id from dt group by 2), j as (select pred, supercategory as truth from x join art using (doc_id) where supercategory is not null),
  c as (select pred, truth, count(*) as n from j group by all), p as (select avg(m / s) as purity from (select max(n) as m, sum(n) as s from c group by pred)), i as (select sum(m) / sum(s) as ip from (select max(n) as m, sum(n) as s from c group by truth))
  select round(purity, 9) as purity, round(ip, 9) as inverse_purity, round(2 / (1 / purity + 1 / ip), 9) as harmonic from p, i""")

@@ -188,6 +188,16 @@ def test_npmi_by_brute_force(spark):
     assert got.npmi == pytest.approx(sum(want) / 6)
 
 
+def test_coherence_counts_over_the_raw_text(spark, tmp_path):
+    texts = [(1, "A b x", None), (2, "x A y", "a b"), (3, "b", "b"), (4, "z", "a b")]
+    wiki = spark.createDataFrame(texts, "doc_id bigint, text string, tokenized_text string").withColumn("loaded_at", F.lit("2024-01-01")).withColumn("supercategory", F.lit("s"))
+    tables = {"wikitext": wiki, "vocab": spark.createDataFrame([(0, "a"), (1, "b")], "word_id int, word string"), "topic2word_dist": spark.createDataFrame([(0, [0.6, 0.4])], "topic_id int, p array<double>")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = reference.QUERIES["npmi_coherence_text"](spark, str(tmp_path)).head()
+    assert (got.npmi, got.pairs) == (pytest.approx(math.log(0.25 / (0.5 * 0.5)) / -math.log(0.25), abs=1e-6), 2)  # each text is one window
+
+
 def test_labels_and_prompts(spark):
     replies = [(0, ' 1\n'), (1, "1."), (2, None), (3, "yes"), (4, "7")]
     df = spark.createDataFrame(replies, "i int, r string")
