@@ -1,12 +1,14 @@
-"""Top-K sparse autoencoder: inference, losses and training on bounded data."""
+"""Top-K sparse autoencoder: inference, losses and training."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,69 +83,147 @@ def lower_median(cells: DataFrame) -> DataFrame:
     return cells.groupBy("i").agg(F.expr("percentile_disc(0.5) within group (order by x)").alias("median"))
 
 
+PARAMS = ("encoder", "decoder", "offset", "bias")
+
+
+@dataclass
+class _State:
+    """What training carries from pass to pass: the model, Adam's moments and steps, and the rows since each neuron fired."""
+
+    model: Autoencoder
+    m: dict[str, np.ndarray]
+    s: dict[str, np.ndarray]
+    idle: np.ndarray
+    t: int = 0
+
+
+def _error(model: Autoencoder, y: np.ndarray) -> np.ndarray:
+    """Squared error, and rows, sum and sum of squares, from which that of the mean is known."""
+    e = model.decode(model.encode(y)) - y
+    return np.concatenate([[(e * e).sum(), len(y), (y * y).sum()], y.sum(0)])
+
+
+def _relative(e: np.ndarray) -> float:
+    return float(e[0] / max(1e-12, e[2] - (e[3:] ** 2).sum() / max(1, e[1])))
+
+
+def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to learn from, and an eighth held out (all, where there are too few)."""
+    held = np.arange(len(x)) % 8 == 7
+    return (x[~held], x[held]) if held.any() else (x, x)
+
+
+def _pass(state: _State, x: np.ndarray, rng: np.random.Generator, batch: int, rate: float, aux: float, cuts: list[int]) -> _State:
+    """One pass of Adam over the rows of a part."""
+    model, m, s, idle, t = replace(state.model), dict(state.m), dict(state.s), state.idle, state.t
+    for at in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch))):
+        y = x[at]
+        a = model.encode(y)
+        scale = max(1e-12, ((y - y.mean(0)) ** 2).sum())
+        g = {p: np.zeros_like(getattr(model, p)) for p in PARAMS}
+        back = np.zeros_like(a)
+        for c in cuts:
+            e = 2 * (a[:, :c] @ model.decoder[:, :c].T + model.offset - y) / scale / len(cuts)
+            g["decoder"][:, :c] += e.T @ a[:, :c]
+            g["offset"] += e.sum(0)
+            back[:, :c] += e @ model.decoder[:, :c]
+        idle = np.where((a > 0).any(0), 0, idle + len(at))
+        dead = idle > len(x)
+        if aux and dead.any():
+            pre = np.maximum((y - model.offset) @ model.encoder[dead].T + model.bias[dead], 0)
+            e = 2 * aux * (pre @ model.decoder[:, dead].T - (y - model.decode(a))) / scale
+            g["decoder"][:, dead] += e.T @ pre
+            live = (e @ model.decoder[:, dead]) * (pre > 0)
+            g["encoder"][dead] += live.T @ (y - model.offset)
+            g["bias"][dead] += live.sum(0)
+        back *= a > 0
+        g["encoder"] += back.T @ (y - model.offset)
+        g["bias"] += back.sum(0)
+        g["offset"] -= back.sum(0) @ model.encoder
+        g["decoder"] -= model.decoder * (g["decoder"] * model.decoder).sum(0)
+        norm = np.sqrt(sum((v * v).sum() for v in g.values()))
+        t += 1
+        for p in PARAMS:
+            d = g[p] / max(1.0, norm)
+            m[p] = 0.9 * m[p] + 0.1 * d
+            s[p] = 0.999 * s[p] + 0.001 * d * d
+            setattr(model, p, getattr(model, p) - rate * (m[p] / (1 - 0.9**t)) / (np.sqrt(s[p] / (1 - 0.999**t)) + 1e-8))
+        model.decoder = model.decoder / np.maximum(np.linalg.norm(model.decoder, axis=0), 1e-12)
+    return _State(model, m, s, idle, t)
+
+
+def _averaged(states: list[_State], rows: list[int]) -> _State:
+    """The mean of the parts' models and moments by their rows; a neuron has been idle for as long as in the part that it fired in last."""
+    w = np.array(rows) / sum(rows)
+    mean = lambda xs: sum(k * x for k, x in zip(w, xs))
+    model = replace(states[0].model, **{p: mean([getattr(s.model, p) for s in states]) for p in PARAMS})
+    model.decoder = model.decoder / np.maximum(np.linalg.norm(model.decoder, axis=0), 1e-12)
+    m, s = ({p: mean([getattr(x, k)[p] for x in states]) for p in PARAMS} for k in ("m", "s"))
+    return _State(model, m, s, np.min([x.idle for x in states], 0), max(x.t for x in states))
+
+
 def train(rows: DataFrame, n_features: int, k: int, vector_col: str = "v", bound: int = 50_000, epochs: int = 30, batch: int = 512, rate: float = 5e-4, patience: int = 5, aux: float = 1 / 32, prefixes: tuple[float, ...] = (), seed: int = 42) -> Autoencoder:
-    """An autoencoder fitted by Adam on at most ``bound`` rows (by a hash of the vector), the others are only encoded with it.
+    """An autoencoder fitted by Adam on all rows, in parts of about ``bound`` rows (by a hash of the vector).
+
+    Each epoch is a pass over every part in a task of its own, after which the driver averages
+    the parts' models by their rows; a single part is learnt on the driver. Only models, moments and sums
+    of errors leave the tasks.
 
     Loss: squared error relative to the batch's spread, for each of the ``prefixes`` (shares of the
     neurons, nested) and all, plus ``aux`` times that of reconstructing the residual with neurons
-    that haven't fired for an epoch. Decoder columns have length 1; gradients are clipped to norm 1; the
-    offset starts at the lower median. An eighth is held out, and training ends when its loss hasn't
-    fallen for ``patience`` epochs. ``history`` has the losses of each epoch.
+    that haven't fired for an epoch of their part. Decoder columns have length 1; gradients are clipped to norm 1;
+    the offset starts at the lower median (the mean of the parts'). An eighth is held out, and training ends when
+    its loss hasn't fallen for ``patience`` epochs. ``history`` has the losses of each epoch and the rows learnt from.
     """
-    table = rows.where(F.col(vector_col).isNotNull()).select(F.xxhash64(vector_col).alias("h"), vector_col).orderBy("h").limit(bound).toArrow()
-    x = table[vector_col].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1).astype("float64")
     rng = np.random.default_rng(seed)
-    held = np.arange(len(x)) % 8 == 7
-    val, x = (x[held], x[~held]) if held.any() else (x, x)
-    dec = rng.normal(size=(x.shape[1], n_features))
-    dec /= np.linalg.norm(dec, axis=0)
-    model = Autoencoder(dec.T.copy(), dec, np.sort(x, axis=0)[(len(x) - 1) // 2], np.zeros(n_features), k)
-    params = ["encoder", "decoder", "offset", "bias"]
-    m, s = ({p: np.zeros_like(getattr(model, p)) for p in params} for _ in range(2))
+    hashed = rows.where(F.col(vector_col).isNotNull()).select(F.xxhash64(vector_col).alias("h"), F.col(vector_col).alias("v"))
+    parts = max(1, -(-hashed.count() // bound))
     cuts = sorted({max(1, int(c * n_features)) for c in prefixes} | {n_features})
-    idle, t, best, waited = np.zeros(n_features), 0, np.inf, 0
-
-    def loss(y: np.ndarray) -> float:
-        e = model.decode(model.encode(y)) - y
-        return float((e * e).sum() / max(1e-12, ((y - y.mean(0)) ** 2).sum()))
-
-    for epoch in range(epochs):
-        for at in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch))):
-            y = x[at]
-            a = model.encode(y)
-            scale = max(1e-12, ((y - y.mean(0)) ** 2).sum())
-            g = {p: np.zeros_like(getattr(model, p)) for p in params}
-            back = np.zeros_like(a)
-            for c in cuts:
-                e = 2 * (a[:, :c] @ model.decoder[:, :c].T + model.offset - y) / scale / len(cuts)
-                g["decoder"][:, :c] += e.T @ a[:, :c]
-                g["offset"] += e.sum(0)
-                back[:, :c] += e @ model.decoder[:, :c]
-            idle = np.where((a > 0).any(0), 0, idle + len(at))
-            dead = idle > len(x)
-            if aux and dead.any():
-                pre = np.maximum((y - model.offset) @ model.encoder[dead].T + model.bias[dead], 0)
-                e = 2 * aux * (pre @ model.decoder[:, dead].T - (y - model.decode(a))) / scale
-                g["decoder"][:, dead] += e.T @ pre
-                live = (e @ model.decoder[:, dead]) * (pre > 0)
-                g["encoder"][dead] += live.T @ (y - model.offset)
-                g["bias"][dead] += live.sum(0)
-            back *= a > 0
-            g["encoder"] += back.T @ (y - model.offset)
-            g["bias"] += back.sum(0)
-            g["offset"] -= back.sum(0) @ model.encoder
-            g["decoder"] -= model.decoder * (g["decoder"] * model.decoder).sum(0)
-            norm = np.sqrt(sum((v * v).sum() for v in g.values()))
-            t += 1
-            for p in params:
-                d = g[p] / max(1.0, norm)
-                m[p] = 0.9 * m[p] + 0.1 * d
-                s[p] = 0.999 * s[p] + 0.001 * d * d
-                setattr(model, p, getattr(model, p) - rate * (m[p] / (1 - 0.9**t)) / (np.sqrt(s[p] / (1 - 0.999**t)) + 1e-8))
-            model.decoder /= np.maximum(np.linalg.norm(model.decoder, axis=0), 1e-12)
-        model.history.append({"epoch": epoch, "train": loss(x), "val": loss(val), "dead": float((idle > len(x)).mean())})
-        if model.history[-1]["val"] < best - 1e-9:
-            best, waited = model.history[-1]["val"], 0
-        elif (waited := waited + 1) >= patience:
-            break
-    return model
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        v = table.sort_by("h")["v"].combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype("float64")
+
+    if parts == 1:
+        alone = matrix(hashed.toArrow())
+        each = lambda f: [f(alone, 0)]
+    else:
+        split = hashed.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")).repartition(parts, "part").persist(StorageLevel.DISK_ONLY)
+
+        def each(f) -> list:
+            def run(table: pa.Table) -> pa.Table:
+                return pa.table({"x": pa.array([pickle.dumps(f(matrix(table), table["part"][0].as_py()))], pa.binary())})
+
+            return [pickle.loads(r.x) for r in split.groupBy("part").applyInArrow(run, "x binary").collect()]
+
+    def begin(x: np.ndarray, part: int) -> tuple[int, np.ndarray]:
+        x = _split(x)[0]
+        return len(x), np.sort(x, axis=0)[(len(x) - 1) // 2]
+
+    begun = each(begin)
+    offset = sum(n * v for n, v in begun) / sum(n for n, _ in begun)
+    dec = rng.normal(size=(len(offset), n_features))
+    dec /= np.linalg.norm(dec, axis=0)
+    model = Autoencoder(dec.T.copy(), dec, offset, np.zeros(n_features), k)
+    m, s = ({p: np.zeros_like(getattr(model, p)) for p in PARAMS} for _ in range(2))
+    state, history, best, waited = _State(model, m, s, np.zeros(n_features)), [], np.inf, 0
+    for epoch in range(epochs + 1):  # each pass first has the losses of the epoch before
+
+        def step(x: np.ndarray, part: int, state: _State = state, epoch: int = epoch) -> tuple:
+            x, val = _split(x)
+            after = _pass(state, x, np.random.default_rng([seed, epoch, part]), batch, rate, aux, cuts) if epoch < epochs else None
+            return len(x), _error(state.model, x), _error(state.model, val), state.idle > len(x), after
+
+        found = each(step)
+        if epoch:
+            learnt, val = (sum(f[i] for f in found) for i in (1, 2))
+            history.append({"epoch": epoch - 1, "train": _relative(learnt), "val": _relative(val), "dead": float(np.mean([f[3] for f in found])), "rows": sum(f[0] for f in found)})
+            if history[-1]["val"] < best - 1e-9:
+                best, waited = history[-1]["val"], 0
+            elif (waited := waited + 1) >= patience:
+                break
+        if epoch < epochs:
+            state = _averaged([f[4] for f in found], [f[0] for f in found])
+    if parts > 1:
+        split.unpersist()
+    return replace(state.model, history=history)

@@ -515,7 +515,7 @@ def sae_median_init(s, d):
 def sae_train(s, d):
     """Losses of an autoencoder trained on the vectors, and then all vectors' codes summed up by neuron."""
     rows = vectors(s, d)
-    model = sae.train(rows, 96, 8, epochs=20, rate=3e-3, prefixes=(0.25, 0.5))
+    model = sae.train(rows, 96, 8, epochs=200, rate=3e-3, prefixes=(0.25, 0.5))
     codes = sae.activations(rows, model).select(F.posexplode("theta").alias("neuron", "act")).where("act > 0")
     return codes.groupBy("neuron").agg(F.count(F.lit(1)).alias("n"), F.max("act").alias("highest"))
 

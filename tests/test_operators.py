@@ -222,6 +222,18 @@ def test_autoencoder_learns(spark, tmp_path):
     assert ((np.array(list(got.values())) > 0).sum(1) <= 3).all()
 
 
+def test_autoencoder_learns_from_every_row(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(12, 16))
+    x = np.array([base[rng.choice(12, 2, replace=False)].sum(0) for _ in range(900)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id bigint, v array<double>")
+    model = sae.train(df, 24, 3, bound=300, epochs=25, batch=32, rate=5e-3)  # three parts
+    learnt = model.history[-1]["rows"]
+    assert 900 * 7 / 8 <= learnt < 900 * 7 / 8 + 3
+    e = model.decode(model.encode(x)) - x
+    assert (e * e).sum() < 0.3 * ((x - x.mean(0)) ** 2).sum()
+
+
 def test_topics_of_all_documents_and_words(spark):
     docs = [(i, [f"{'ab'[i % 2]}{(i // 2 + j) % 5}" for j in range(6)] + [f"only{i}"]) for i in range(40)] + [(99, [])]
     found = topics.fit_topics(spark.createDataFrame(docs, "doc_id bigint, t array<string>"), "t", 2, max_iterations=200)
