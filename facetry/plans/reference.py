@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,6 +204,13 @@ def remove_stopwords(s, d):
     return articles(s, d).where("text is not null").select("doc_id", F.array_join(tx.without(F.split("text", " "), STOP), " ").alias("text"))
 
 
+@query()
+def remove_stopwords_english(s, d):
+    """As remove_stopwords, with a full English list; case matters."""
+    stop = StopWordsRemover.loadDefaultStopWords("english")
+    return articles(s, d).where("text is not null").select("doc_id", F.array_join(tx.without(F.split("text", " "), stop), " ").alias("text"))
+
+
 @query(rf"with {C_ART} select doc_id, regexp_replace(string_split(text, '= =')[1], '^\s+|\s+$', '', 'g') as abstract from art where text is not null")
 def extract_abstract(s, d):
     return articles(s, d).where("text is not null").select("doc_id", tx.abstract(F.col("text")).alias("abstract"))

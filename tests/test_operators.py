@@ -143,6 +143,13 @@ def test_words_of_every_text(spark, tmp_path):
     assert got == {i: (len(w), hashlib.md5("|".join(w).encode()).hexdigest()) for i, w in words.items()}
 
 
+def test_full_list_of_stop_words(spark, tmp_path):
+    df = spark.createDataFrame([(1, "the cat , which had been here , can't The again"), (2, None)], "doc_id bigint, text string")
+    df.selectExpr("*", "text as tokenized_text", "'s' as supercategory", "'2024-01-01' as loaded_at").write.parquet(f"{tmp_path}/wikitext.parquet")
+    got = [tuple(r) for r in reference.QUERIES["remove_stopwords_english"](spark, str(tmp_path)).collect()]
+    assert got == [(1, "cat , , The")]
+
+
 def test_dpp_equals_the_literal_formulation(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(30, 8))
