@@ -20,8 +20,9 @@ from facetry.sources.tables import latest, stored
 
 #: Places that terms are hashed to, weight of the topic part, Lloyd passes for each level of splits.
 PLACES, TOPIC_WEIGHT, PASSES = 96, 0.7, 2
-#: A leaf is compact at this root mean square distance from its centre; with this few rows it fits into a task; most leaves of the passes over all rows.
-RADIUS, FEW_ROWS, MOST_LEAVES = 0.45, 4096, 1024
+#: A leaf is compact at this root mean square distance from its centre. Rows of a leaf that a task splits further
+#: by itself, and leaves whose centres the driver holds; larger and more leaves are split by joins.
+RADIUS, FEW_ROWS, MOST_LEAVES = 0.45, 32768, 1024
 #: Two records are alike at this Jaccard similarity of terms, or this L1 distance of topics.
 ALIKE, TOPICS_APART = 0.5, 0.02
 #: Rows of one block that are compared with each other in a task.
@@ -67,6 +68,15 @@ def _vectors(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _dense(column, width: int) -> np.ndarray:
+    """The lists of ``column`` as rows of ``width``, filled up with 0, as null lists are."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+    out, flat = np.zeros((len(sizes), width)), column.flatten().to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
 def _sums(rows: DataFrame, tree: Tree, width: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """(rows, sum, sum of squares) of each leaf. Each task sends a few rows, pre-aggregated; at most :data:`MOST_LEAVES` reach the driver."""
 
@@ -98,8 +108,9 @@ def bisect(rows: DataFrame, width: int, radius: float = RADIUS, few: int = FEW_R
     """The tree of a bisecting k-means over ``rows`` (v), and (rows, centre, mean squared distance) of each leaf.
 
     The leaves of largest dispersion (summed squared distance) are split until each is compact,
-    within ``radius`` (root mean square), or a block of at most ``few`` rows, however dispersed, or
-    no longer divisible; at most ``most`` leaves are made. All leaves due are split in the same passes over the rows, the most
+    within ``radius`` (root mean square), or holds at most ``few`` rows, which :func:`compact` splits
+    on in a task, or no longer divisible; at most ``most`` leaves are made, and those that are too large then are left
+    to :func:`_deeper`. All leaves due are split in the same passes over the rows, the most
     dispersed first where the bound leaves room for only some, so the number of passes grows
     with the depth, not with the leaves, and the last Lloyd pass of a level gives the dispersions that
     decide on the next. A split starts at the centre, shifted both ways by one
@@ -213,10 +224,7 @@ def record_vectors(rows: DataFrame, n_topics: int, idf: dict[int, float]) -> Dat
             w = np.where(flat & 1, w, -w)
             place = (flat >> 1) % PLACES
             x = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * PLACES + place, w, len(sizes) * PLACES).reshape(len(sizes), PLACES)
-            t = np.zeros((len(sizes), n_topics))
-            for r, p in enumerate(b.column(2).to_pylist()):
-                if p:
-                    t[r, : len(p)] = p[:n_topics]
+            t = _dense(b.column(2), n_topics)
             for m, scale in ((x, 1.0), (t, TOPIC_WEIGHT)):
                 m *= scale / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
             v = np.hstack([x, t]).astype("float32")
@@ -256,16 +264,6 @@ def stored_vectors(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
     return stored(record_vectors(rows, width, idf)), PLACES + width
 
 
-def partition(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, leaf, distance) of every record by bisecting k-means over all of them, stored.
-
-    The leaves are blocks for :func:`term_links`, of any dispersion; :func:`compact` has clusters.
-    """
-    vectors, width = stored_vectors(rows, counts)
-    tree, leaves = bisect(vectors, width)
-    return stored(assigned(vectors, tree, leaves))
-
-
 def _settle(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """The part of each row and its distance from the part's centre: ``x`` bisected as in :func:`bisect` until every part is within ``radius``."""
     part, far, todo, parts = np.zeros(len(x), "int64"), np.zeros(len(x)), [np.arange(len(x))], 0
@@ -290,31 +288,111 @@ def _settle(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     return part, far
 
 
-def compact(rows: DataFrame, counts: DataFrame, radius: float = RADIUS) -> DataFrame:
+def _deeper(rows: DataFrame, width: int, radius: float, few: int) -> DataFrame:
+    """``rows`` (doc_id, leaf, v), bisected as in :func:`bisect` until each leaf has at most ``few`` rows or is within ``radius``.
+
+    For the leaves that the driver's tree has no room for: centres are rows of a table that is
+    joined by leaf, so neither their number nor a leaf's size is bounded. The halves of leaf k are 2k and 2k + 1.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, leaf = _vectors(b.column(1)).astype("float64"), b.column(0).to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            keys, starts = np.unique(leaf[order], return_index=True)
+            sums = np.add.reduceat(np.hstack([np.ones((len(x), 1)), x, x * x])[order], starts, axis=0) if len(keys) else np.zeros((0, 2 * width + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(sums), pa.list_(pa.float64()))], names=["leaf", "s"])
+
+    def plane(table: pa.Table) -> pa.Table:
+        s = _vectors(table["s"].combine_chunks()).sum(0)
+        n, center = s[0], s[1 : width + 1] / s[0]
+        var = np.maximum(s[width + 1 :] / n - center * center, 0)
+        step = np.zeros(width)
+        step[int(np.argmax(var))] = math.sqrt(var.max())
+        due = n > few and var.sum() > radius * radius
+        return pa.table({"leaf": table["leaf"][:1], "a": pa.array([center - step], pa.list_(pa.float64())), "b": pa.array([center + step], pa.list_(pa.float64()))}).slice(0, int(due))
+
+    def means(table: pa.Table) -> pa.Table:
+        s = _vectors(table["s"].combine_chunks())
+        right = (table["leaf"].to_numpy() & 1).astype(bool)
+        halves = [s[~right].sum(0), s[right].sum(0)]
+        if not halves[0][0] or not halves[1][0]:
+            return pa.table({"leaf": pa.array([], pa.int64()), "a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))})
+        a, b = (h[1 : width + 1] / h[0] for h in halves)
+        return pa.table({"leaf": table["leaf"][:1].cast(pa.int64()), "a": pa.array([a], pa.list_(pa.float64())), "b": pa.array([b], pa.list_(pa.float64()))})
+
+    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf, known = b.column(1).to_numpy(), b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            x = _vectors(b.column(2)).astype("float64")
+            lo, hi = _dense(b.column(3), width), _dense(b.column(4), width)
+            right = np.einsum("ij,ij->i", x, hi - lo) > (np.einsum("ij,ij->i", hi, hi) - np.einsum("ij,ij->i", lo, lo)) / 2
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.where(known, 2 * leaf + right, leaf)), b.column(2)], names=["doc_id", "leaf", "v"])
+
+    places = "leaf bigint, a array<double>, b array<double>"
+    while True:
+        planes = stored(rows.select("leaf", "v").mapInArrow(partial, "leaf bigint, s array<double>").groupBy("leaf").applyInArrow(plane, places))
+        if planes.isEmpty():
+            return rows
+        hot = rows.join(planes.select("leaf"), "leaf", "left_semi").select("doc_id", "leaf", "v")
+        for _ in range(PASSES):
+            sides = hot.join(planes, "leaf").select("doc_id", "leaf", "v", "a", "b").mapInArrow(half, "doc_id bigint, leaf bigint, v array<float>")
+            sums = sides.select("leaf", "v").mapInArrow(partial, "leaf bigint, s array<double>")
+            moved = sums.groupBy(F.shiftright("leaf", 1).alias("of")).applyInArrow(means, places).select(F.shiftright("leaf", 1).alias("leaf"), F.col("a").alias("na"), F.col("b").alias("nb"))
+            # a pass that leaves one side empty is taken back
+            planes = stored(planes.join(moved, "leaf", "left").select("leaf", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")))
+        rows = stored(rows.join(planes, "leaf", "left").select("doc_id", "leaf", "v", "a", "b").mapInArrow(half, "doc_id bigint, leaf bigint, v array<float>"))
+
+
+def compact(rows: DataFrame, counts: DataFrame, radius: float = RADIUS, few: int = FEW_ROWS, most: int = MOST_LEAVES) -> DataFrame:
     """(doc_id, leaf, distance) of every record, stored; every leaf is within ``radius`` (root mean square).
 
-    The passes of :func:`bisect` go on only until a leaf fits into a task; each leaf that is not
+    The passes of :func:`bisect` over all rows, and of :func:`_deeper` where there are more leaves than
+    the driver's tree holds, go on until a leaf fits into a task; each leaf that is not
     compact by then is split further in one task, down to single records where need be. A leaf's
-    number is its node's in the upper 32 bits and the part's in the lower.
+    number is its node's in the upper bits and the part's in the lower 16.
     """
     vectors, width = stored_vectors(rows, counts)
-    tree, leaves = bisect(vectors, width, radius)
-    loose = [int(k) for k, (_, _, var) in leaves.items() if var > radius * radius]
+    tree, leaves = bisect(vectors, width, radius, few, most)
+    loose = {int(k): n for k, (n, _, var) in leaves.items() if var > radius * radius}
+    base = 1 << (2 * most).bit_length()  # above every node of the tree
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaf = tree.leaf_of(_vectors(b.column(1)))
-            kept = np.flatnonzero(np.isin(leaf, loose))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(leaf[kept]), b.column(1).take(pa.array(kept))], names=["doc_id", "leaf", "v"])
+            kept = np.flatnonzero(np.isin(leaf, list(loose)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(leaf[kept] + base), b.column(1).take(pa.array(kept))], names=["doc_id", "leaf", "v"])
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         part, far = _settle(_vectors(table["v"].combine_chunks()).astype("float64"), radius)
-        return pa.table({"doc_id": table["doc_id"], "leaf": pa.array((table["leaf"].to_numpy() << 32) + part), "distance": pa.array(far)})
-
-    split = vectors.select("doc_id", "v").mapInArrow(place, "doc_id bigint, leaf bigint, v array<float>").groupBy("leaf").applyInArrow(settle, "doc_id bigint, leaf bigint, distance double")
-    whole = assigned(vectors, tree, leaves).where(~F.col("leaf").isin(loose)).withColumn("leaf", F.shiftleft("leaf", 32))
-    return stored(whole.unionByName(split))
+        return pa.table({"doc_id": table["doc_id"], "leaf": pa.array((table["leaf"].to_numpy() << 16) + part), "distance": pa.array(far)})
+
+    def split(df: DataFrame) -> DataFrame:
+        return df.groupBy("leaf").applyInArrow(settle, "doc_id bigint, leaf bigint, distance double")
+
+    out = []
+    if loose:
+        placed = vectors.select("doc_id", "v").mapInArrow(place, "doc_id bigint, leaf bigint, v array<float>")
+        if max(loose.values()) > few:
+            placed = _deeper(stored(placed), width, radius, few)
+            sums = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+            large = stored(sums.where(F.col("n") > few).select("leaf"))
+            # what is still larger is within the radius
+            out.append(_from_centres(placed.join(large, "leaf", "left_semi"), width))
+            placed = placed.join(large, "leaf", "left_anti")
+        out.append(split(placed))
+    if len(loose) < len(leaves):
+        out.append(assigned(vectors, tree, leaves).where(~F.col("leaf").isin(list(loose))).withColumn("leaf", F.shiftleft(F.col("leaf") + base, 16)))
+    return stored(reduce(DataFrame.unionByName, out))
+
+
+def _from_centres(rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, leaf, distance) of rows (doc_id, leaf, v) whose leaves are compact but larger than a task takes."""
+    cells = rows.select("leaf", F.posexplode("v").alias("i", "x")).groupBy("leaf", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centres = cells.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select("leaf", F.transform("c", lambda c: c["x"]).alias("c"))
+    square = F.aggregate(F.zip_with("v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(centres, "leaf").select("doc_id", F.shiftleft("leaf", 16).alias("leaf"), F.sqrt(square).alias("distance"))
 
 
 def typical(rows: DataFrame, per_cluster: int = 5) -> DataFrame:
@@ -346,15 +424,9 @@ def _alike(sets: list[np.ndarray], sig: np.ndarray, size: np.ndarray, a: np.ndar
     return out
 
 
-def _link_block(table: pa.Table) -> pa.Table:
+def _stars(ids: np.ndarray, sets: list[np.ndarray], sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars of the alike records of a block: each member with the smallest id of its set."""
-    ids = table["doc_id"].to_numpy()
-    lists = table["terms"].combine_chunks()
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy()
-    sets = [flat[ends[i] : ends[i + 1]] for i in range(len(ids))]
-    sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(ids), WORDS).view("uint64")
-    size, root = np.diff(ends), np.arange(len(ids))
+    size, root = np.array([len(x) for x in sets]), np.arange(len(ids))
     order = np.argsort(size, kind="stable")
     limit = np.searchsorted(size[order], 2 * size[order], side="right")  # alike sets are at most twice as large
     for i, row in enumerate(order):
@@ -365,47 +437,79 @@ def _link_block(table: pa.Table) -> pa.Table:
     least = np.full(len(ids), np.iinfo("int64").max)
     np.minimum.at(least, root, ids)
     far = np.flatnonzero(least[root] != ids)
-    return pa.table({"doc_id": pa.array(ids[far], pa.int64()), "root": pa.array(least[root][far], pa.int64())})
+    return ids[far], least[root][far]
+
+
+def _link_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`_stars` of each (leaf, part) of rows that come in this order."""
+
+    def link(table: pa.Table) -> pa.RecordBatch:
+        leaf, part, ids = (table[c].to_numpy() for c in ("leaf", "part", "doc_id"))
+        lists = table["terms"].combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(ids), WORDS).view("uint64")
+        begins = np.flatnonzero(np.concatenate([[True], (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])]))
+        node, root = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+        for i, j in zip(begins.tolist(), np.append(begins[1:], len(ids)).tolist()):
+            if j - i > 1:
+                found = _stars(ids[i:j], [flat[ends[k] : ends[k + 1]] for k in range(i, j)], sig[i:j])
+                node.append(found[0])
+                root.append(found[1])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(root))], names=["doc_id", "root"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        leaf, part = table["leaf"].to_numpy(), table["part"].to_numpy()
+        changed = np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1]))  # the last group may go on
+        if len(changed):
+            yield link(table.slice(0, int(changed[-1]) + 1).combine_chunks())
+            table = table.slice(int(changed[-1]) + 1)
+        held = table.to_batches()
+    if held:
+        yield link(pa.Table.from_batches(held).combine_chunks())
 
 
 _EDGE = "doc_id bigint, root bigint"
 
 
 def _sliced(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with part, so that all pairs of rows of a key meet within some (key, part).
+    """The ``rows`` of keys with more than one, with part, so that all pairs of rows of a key meet within some (key, part).
 
     A key with up to :data:`BLOCK_ROWS` rows is one part; above that its rows are cut into slices by
     doc_id, and each pair of slices is a part.
     """
-    big = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).select(key, F.ceil(F.col("n") / (BLOCK_ROWS // 2)).alias("slices")))
-    if big.isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("bigint"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slices = F.when(F.col("n") > BLOCK_ROWS, F.ceil(F.col("n") / (BLOCK_ROWS // 2))).otherwise(F.lit(1).cast("bigint"))
     s = F.pmod(F.xxhash64("doc_id"), F.col("slices"))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1), lambda o: F.least(o, s) * F.col("slices") + F.greatest(o, s))
-    one = F.array(F.lit(0).cast("bigint"))
-    return rows.join(big, key, "left").withColumn("part", F.explode(F.when(F.col("slices").isNull(), one).otherwise(pairs))).drop("slices")
+    return rows.join(sizes.select(key, slices.alias("slices")), key).withColumn("part", F.explode(pairs)).drop("slices")
 
 
 def _in_leaves(rows: DataFrame) -> DataFrame:
-    """Links within each leaf."""
-    return _sliced(rows.select("leaf", "doc_id", "terms", "sig"), "leaf").groupBy("leaf", "part").applyInArrow(_link_block, _EDGE)
+    """Links within each leaf, as stars."""
+    placed = _sliced(rows.select("leaf", "doc_id"), "leaf").join(rows.select("doc_id", "terms", "sig"), "doc_id")
+    return placed.select("leaf", "part", "doc_id", "terms", "sig").repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(_link_leaves, _EDGE)
 
 
-def _prefixes(rows: DataFrame, common: list[int]) -> DataFrame:
-    """(term, doc_id, leaf, size, at, s0.., h0..): the terms at which a record may meet an alike one, with their place.
+def _prefixes(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
+    """(term, part, doc_id, leaf, size, at, s0.., h0..): the terms at which a record may meet an alike one, with their place.
 
     s0.. are the signature folded in half, h0.. its second half, null for records of up to :data:`LONG` terms.
-
+    part is -1 but for ``common`` terms (with their numbers of records, rarest first) of more than :data:`BLOCK_ROWS`
+    records, whose rows it spreads over tasks.
 
     All records order their terms alike: those not ``common`` first, by hash, then ``common`` from
     the rarest. Two alike records of sizes s <= t share at least (s + t) / 3 terms, so the first
     they share is among the first s / 3 + 1 of the smaller and the first t / 2 + 1 of the larger.
     """
     words = [f"{c}{i}" for c in "sh" for i in range(HALF)]
-    names = ["term", "doc_id", "leaf", "size", "at", *words]
+    names = ["term", "part", "doc_id", "leaf", "size", "at", *words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(common, "int64")
+        keys = np.array([t for t, _ in common], "int64")
+        spread = np.array([1, *(-(-d // BLOCK_ROWS) for _, d in common)])
         by_hash = np.argsort(keys)
         for b in batches:
             lists = b.column(2)
@@ -419,70 +523,128 @@ def _prefixes(rows: DataFrame, common: list[int]) -> DataFrame:
             order = np.lexsort((flat, rank, owner))
             at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             kept = at <= np.repeat(size // 2, size)
-            of, terms, at = owner[order][kept], flat[order][kept], at[kept]
+            of, terms, at, parts = owner[order][kept], flat[order][kept], at[kept], spread[rank[order][kept]]
+            ids = b.column(0).to_numpy()
+            part = np.where(parts > 1, ids[of] % np.maximum(parts, 1), -1)
             sig = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS)
             folded, short = sig[:, :HALF] ^ sig[:, HALF:], size <= LONG
             for j in range(0, len(of), 1 << 16):
-                o = of[j : j + (1 << 16)]
-                cols = [terms[j : j + (1 << 16)], b.column(0).to_numpy()[o], b.column(1).to_numpy()[o], size[o].astype("int32"), at[j : j + (1 << 16)].astype("int32"), *(folded[o, k] for k in range(HALF))]
+                e = slice(j, j + (1 << 16))
+                o = of[e]
+                cols = [terms[e], part[e].astype("int32"), ids[o], b.column(1).to_numpy()[o], size[o].astype("int32"), at[e].astype("int32"), *(folded[o, k] for k in range(HALF))]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *(pa.array(sig[o, HALF + k], mask=short[o]) for k in range(HALF))], names=names)
 
-    schema = "term bigint, doc_id bigint, leaf bigint, size int, at int, " + ", ".join(f"{w} bigint" for w in words)
+    schema = "term bigint, part int, doc_id bigint, leaf bigint, size int, at int, " + ", ".join(f"{w} bigint" for w in words)
     return rows.select("doc_id", "leaf", "terms", "sig").mapInArrow(run, schema)
 
 
-def _candidates(entries: DataFrame) -> DataFrame:
-    """(a, b): records of different leaves that meet at a term and may be alike by size, place and signature.
+def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a (term, part) that lie in different leaves and may be alike by size, place and signature.
 
-    Entries come in the order of terms; the rows of a term are compared at every distance in the
-    order, all terms of a stretch at once. A term with more than :data:`BLOCK_ROWS` records is
-    spread over tasks as pairs of slices.
+    Rows come in the order of terms and sizes; those of a term are compared at every distance in
+    the order, all terms of the block at once.
     """
-    def pairs(block: pa.Table) -> pa.RecordBatch:
-        term, part, ids, leaf = (block[c].to_numpy() for c in ("term", "part", "doc_id", "leaf"))
-        size, at = block["size"].to_numpy().astype("int64"), block["at"].to_numpy()
-        sig, high = (np.stack([block[f"{c}{i}"].fill_null(0).to_numpy() for i in range(HALF)], 1).view("uint64") for c in "sh")
-        begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])]))
-        end = np.repeat(np.append(begins[1:], len(term)), np.diff(np.append(begins, len(term))))
-        found_a, found_b, rows, step = [], [], np.flatnonzero(at <= size // 3), 1
-        while len(rows := rows[rows + step < end[rows]]):
-            # a is the smaller or as large: rows of a term are in the order of sizes
-            rows = rows[size[rows + step] <= 2 * size[rows]]
-            a, b = rows, rows + step
-            ok = leaf[a] != leaf[b]
-            a, b = a[ok], b[ok]
-            # terms they can still share from here on
-            ok = 3 * (1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1) >= size[a] + size[b]
-            a, b = a[ok], b[ok]
-            ok = 3 * np.bitwise_count(sig[a] ^ sig[b]).sum(1) <= size[a] + size[b]
-            a, b = a[ok], b[ok]
-            apart = high[a] ^ high[b]
-            apart = np.bitwise_count(apart).sum(1) + np.bitwise_count(apart ^ sig[a] ^ sig[b]).sum(1)
-            ok = (size[a] <= LONG) | (3 * apart.astype("int64") <= size[a] + size[b])
-            found_a.append(ids[a[ok]])
-            found_b.append(ids[b[ok]])
-            step += 1
-        a, b = (np.concatenate([np.zeros(0, "int64"), *x]) for x in (found_a, found_b))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    term, part, ids, leaf = (block[c].to_numpy() for c in ("term", "part", "doc_id", "leaf"))
+    size, at = block["size"].to_numpy().astype("int64"), block["at"].to_numpy()
+    sig, high = (np.stack([block[f"{c}{i}"].fill_null(0).to_numpy() for i in range(HALF)], 1).view("uint64") for c in "sh")
+    begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])]))
+    end = np.repeat(np.append(begins[1:], len(term)), np.diff(np.append(begins, len(term))))
+    found_a, found_b, rows, step = [], [], np.flatnonzero(at <= size // 3), 1
+    while len(rows := rows[rows + step < end[rows]]):
+        # a is the smaller or as large: rows of a term are in the order of sizes
+        rows = rows[size[rows + step] <= 2 * size[rows]]
+        a, b = rows, rows + step
+        # terms they can still share from here on
+        ok = (3 * np.minimum(size[a] - at[a], size[b] - at[b]) >= size[a] + size[b]) & (leaf[a] != leaf[b])
+        a, b = a[ok], b[ok]
+        ok = 3 * np.bitwise_count(sig[a] ^ sig[b]).sum(1) <= size[a] + size[b]
+        a, b = a[ok], b[ok]
+        apart = high[a] ^ high[b]
+        apart = np.bitwise_count(apart).sum(1) + np.bitwise_count(apart ^ sig[a] ^ sig[b]).sum(1)
+        ok = (size[a] <= LONG) | (3 * apart.astype("int64") <= size[a] + size[b])
+        found_a.append(ids[a[ok]])
+        found_b.append(ids[b[ok]])
+        step += 1
+    a, b = (np.concatenate([np.zeros(0, "int64"), *x]) for x in (found_a, found_b))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return both[:, 0], both[:, 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 1 << 16:
-                table = pa.Table.from_batches(held).combine_chunks()
-                term = table["term"].to_numpy()
-                cut = int(np.searchsorted(term, term[-1]))  # the last term may go on
-                if cut:
-                    yield pairs(table.slice(0, cut))
-                held, rows = table.slice(cut).to_batches(), len(table) - cut
-        if rows:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
-
-    return _sliced(entries, "term").repartition("term", "part").sortWithinPartitions("term", "part", "size", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+
+def _candidates(entries: DataFrame) -> DataFrame:
+    """(a, b): the pairs of :func:`_meeting` over all terms, stored.
+
+    One shuffle by term, whose tasks compare the rows of each term as they come; of a
+    term with more than :data:`BLOCK_ROWS` rows they only pass the rows on (b null), and all such rows are then
+    compared in pairs of slices, each by a task of its own.
+    """
+    fields = [f.name for f in entries.schema.fields]
+    late = [f for f in fields if f not in ("term", "part", "doc_id")]
+    schema = "a bigint, b bigint, term bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields if f.name in late)
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(a), entry_types[f]) for f in ("term", *late)]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names=["a", "b", "term", *late])
+
+    entry_types = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.int64() for f in entries.schema.fields}
+
+    def passed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = pa.table({"a": rows["doc_id"], "b": pa.nulls(len(rows), pa.int64()), "term": rows["term"], **{f: rows[f] for f in late}})
+        yield from table.combine_chunks().to_batches()
+
+    def run(limit: int | None):
+        def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if limit is not None:
+                term, part = table["term"].to_numpy(), table["part"].to_numpy()
+                begins = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                n = np.diff(np.append(begins, len(term)))
+                large = np.repeat(n > limit, n) | (part >= 0)
+                if large.any():
+                    yield from passed(table.filter(pa.array(large)))
+                    table = table.filter(pa.array(~large)).combine_chunks()
+            if len(table):
+                yield out(*_meeting(table))
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            rows, over = 0, None
+            for batch in batches:
+                if over is not None:  # a term that has been found too large goes on
+                    same = np.asarray(batch.column("term").to_numpy() == over)
+                    if same.any():
+                        yield from passed(pa.Table.from_batches([batch.filter(pa.array(same))]))
+                        batch = batch.filter(pa.array(~same))
+                if not batch.num_rows:
+                    continue
+                over = None
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= 1 << 16:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    term, part = table["term"].to_numpy(), table["part"].to_numpy()
+                    cut = int(np.flatnonzero((term != term[-1]) | (part != part[-1]))[-1]) + 1 if (term[0], part[0]) != (term[-1], part[-1]) else 0  # the last group may go on
+                    if cut:
+                        yield from compared(table.slice(0, cut).combine_chunks())
+                    table = table.slice(cut)
+                    if limit is not None and len(table) > limit:
+                        over = int(term[-1])
+                        yield from passed(table)
+                        table = table.slice(0, 0)
+                    held, rows = table.to_batches(), len(table)
+            if rows:
+                yield from compared(pa.Table.from_batches(held).combine_chunks())
+
+        return go
+
+    def sorted_in(df: DataFrame) -> DataFrame:
+        return df.select(*fields).repartition("term", "part").sortWithinPartitions("term", "part", "size", "doc_id")
+
+    found = stored(sorted_in(entries).mapInArrow(run(BLOCK_ROWS), schema))
+    large = found.where("b is null")
+    pairs = found.where("b is not null").select("a", "b")
+    if not large.isEmpty():
+        again = _sliced(large.select("term", F.col("a").alias("doc_id"), *late), "term").withColumn("part", F.col("part").cast("int"))
+        pairs = pairs.unionByName(sorted_in(again).mapInArrow(run(None), schema).select("a", "b"))
+    return pairs.distinct()
 
 
 def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -495,14 +657,14 @@ def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def term_links(rows: DataFrame, leaves: DataFrame, counts: DataFrame) -> DataFrame:
     """Links (doc_id, root) whose connected sets are those of all pairs of records with alike terms.
 
-    Records with equal terms are one from here on. Records of one leaf of the bisecting k-means
+    Records with equal terms are one from here on. Records of one cluster of the bisecting k-means
     are compared within it. Pairs that a split has parted meet at the first term they share
     (:func:`_candidates`), and those that may be alike are compared term by term.
     """
     equal, single = _thin(rows.where(F.size("terms") > 0))
     single = stored(single.select("doc_id", "terms", "sig").join(leaves.select("doc_id", "leaf"), "doc_id"))
-    common = [r["term"] for r in counts.orderBy(F.col("d").desc(), "term").limit(COMMON).collect()][::-1]
-    found = stored(_candidates(_prefixes(single, common)))
+    common = [(r["term"], r["d"]) for r in counts.orderBy(F.col("d").desc(), "term").limit(COMMON).collect()][::-1]
+    found = _candidates(_prefixes(single, common))
     sets = single.select("doc_id", "terms")
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("terms").alias(f"t{c}")) for c in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
@@ -546,10 +708,7 @@ def topic_links(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = np.zeros((b.num_rows, width))
-            for r, p in enumerate(b.column(1).to_pylist()):
-                y[r, : len(p)] = p
-            y = y @ signs.T / 0.1
+            y = _dense(b.column(1), width) @ signs.T / 0.1
             home, over = np.floor(y).astype("int64"), (np.ceil(y) - y) * 0.1 <= TOPICS_APART * 1.001
             owner, cells = np.arange(len(y)), home
             for j in range(y.shape[1]):
@@ -563,10 +722,10 @@ def topic_links(rows: DataFrame) -> DataFrame:
             of = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(code), b.column(0).take(of), b.column(1).take(of), b.column(2).take(of)], names=["cell", "doc_id", "p", "bare"])
 
-    single = known.where("not bare").unionByName(firsts.select(F.col("root").alias("doc_id"), "p", F.lit(True).alias("bare")))
-    cells = single.mapInArrow(run, "cell bigint, doc_id bigint, p array<double>, bare boolean")
-    with_bare = stored(cells.where("bare").select("cell").distinct())
-    near = _sliced(cells.join(with_bare, "cell", "left_semi"), "cell")
+    schema = "cell bigint, doc_id bigint, p array<double>, bare boolean"
+    bare = stored(firsts.select(F.col("root").alias("doc_id"), "p", F.lit(True).alias("bare")).mapInArrow(run, schema))
+    others = known.where("not bare").mapInArrow(run, schema).join(bare.select("cell").distinct(), "cell", "left_semi")
+    near = _sliced(stored(bare.unionByName(others)), "cell")
     return equal.unionByName(near.groupBy("cell", "part").applyInArrow(_link_topics, _EDGE))
 
 
@@ -575,8 +734,8 @@ def alike_groups(rows: DataFrame, leaves: DataFrame, counts: DataFrame) -> DataF
     return connected_components(term_links(rows, leaves, counts).unionByName(topic_links(rows)))
 
 
-def prepared(wikitext: DataFrame, doc2topic: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records, their leaves and the counts of terms, each stored once."""
+def prepared(wikitext: DataFrame, doc2topic: DataFrame, few: int = FEW_ROWS, most: int = MOST_LEAVES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, their clusters and the counts of terms, each stored once."""
     rows = stored(records(wikitext, doc2topic))
     counts = stored(term_counts(rows))
-    return rows, partition(rows, counts), counts
+    return rows, compact(rows, counts, RADIUS, few, most), counts

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm import clusters, distinct, encode, packing, pieces, subjects, terms, topn, varied
 from facetry.llm.sql import SQL
-from facetry.sources.tables import stored, table
+from facetry.sources.tables import table
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +55,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    rows = stored(clusters.records(table(spark, d, "wikitext"), table(spark, d, "doc2topic_dist")))
-    return clusters.typical(clusters.compact(rows, stored(clusters.term_counts(rows))))
+    return clusters.typical(clusters.prepared(table(spark, d, "wikitext"), table(spark, d, "doc2topic_dist"))[1])
+
+
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p5_clusters: its sizes sum to the records, no cluster is wider than the limit, there are several."""
+    each = p5_clusters(spark, d).where("place = 1")
+    wide = F.count_if(F.col("spread") > clusters.RADIUS)
+    return each.agg(F.sum("size").alias("records"), wide.alias("wide"), (F.count(F.lit(1)) > 1).alias("several"))
 
 
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -76,6 +76,7 @@ SQL = {
     "p2_cores": _TEXTS + "select corpus, doc_id, md5(text) as digest, false as too_long from texts where text is not null",
     "p4_found": _SAME + _CLOSED.format(root="group_doc_id"),
     "p5_found": _ALIKE + _CLOSED.format(root="cluster_doc_id"),
+    "p5_totals": "select count(distinct doc_id) as records, 0::bigint as wide, true as several from wikitext where doc_id is not null",
     "p6_scores": _DISTINCT + "select owner, owner_id, term, round(score, 9) + 0.0 as score from scores",
     "p6_found": _DISTINCT + "select owner, owner_id, term from scores qualify row_number() over (partition by owner, owner_id order by round(score, 9) desc, term) = 1",
     "p7_ranked": _TOP + "select kind, group_id, item_id, score, place from ranked where place <= n",

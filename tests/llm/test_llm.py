@@ -182,14 +182,14 @@ def test_alike_records(spark, monkeypatch):
     wiki = frame(spark, texts, "doc_id bigint, tokenized_text string")
     dist = frame(spark, list(topics.items()), "doc_id bigint, p array<double>")
     want = alike_by_brute_force(texts, topics)
-    for block, few in ((4096, 2048), (16, 8)):  # the second parts the records and goes through slices
+    # the second goes through slices and passes over all rows, the third through splits by joins
+    for block, few, most in ((4096, 2048, 1024), (16, 8, 1024), (16, 8, 2)):
         monkeypatch.setattr(clusters, "BLOCK_ROWS", block)
-        monkeypatch.setattr(clusters.bisect, "__defaults__", (clusters.RADIUS, few, clusters.MOST_LEAVES))
-        rows, leaves, counts = clusters.prepared(wiki, dist)
+        rows, leaves, counts = clusters.prepared(wiki, dist, few, most)
         assert {(r.node, r.root) for r in clusters.alike_groups(rows, leaves, counts).collect()} == want
         report = clusters.typical(leaves, 3).collect()
-        assert sum({r.cluster: r.size for r in report}.values()) == len(texts)
-        assert (len({r.cluster for r in report}) > 1) == (few == 8)
+        assert sum({r.cluster: r.size for r in report}.values()) == len(texts) == leaves.select("doc_id").distinct().count()
+        assert len({r.cluster for r in report}) > 1 and all(r.spread <= clusters.RADIUS for r in report)
 
 
 def test_clusters_keep_to_the_radius(spark):
