@@ -49,6 +49,18 @@ def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied.one_of_each(table(spark, d, "theta"), table(spark, d, "topic2doc_dist"), 300)
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p4_subset: as many records as asked for, all active features and topics, no two of a group."""
+    picks = p4_subset(spark, d).select("doc_id").join(p4_found(spark, d), "doc_id", "left")
+    weights = [rows.select("kind", "doc_id", "feature") for rows in (
+        topn.doc_scores(table(spark, d, "theta")).select("kind", F.col("group_id").alias("doc_id"), F.col("item_id").alias("feature")),
+        topn.topic_scores(table(spark, d, "topic2doc_dist")).where("score > 0 and not isnan(score)").select("kind", F.col("item_id").alias("doc_id"), F.col("group_id").alias("feature")),
+    )]
+    active = weights[0].unionByName(weights[1]).join(picks.select("doc_id"), "doc_id").agg(F.count_distinct("kind", "feature").alias("features"))
+    doubles = F.count(F.lit(1)) - F.count_distinct(F.coalesce("group_doc_id", "doc_id"))
+    return picks.agg(F.count(F.lit(1)).alias("records"), doubles.alias("doubles")).join(active)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows, leaves, counts = clusters.prepared(table(spark, d, "wikitext"), table(spark, d, "doc2topic_dist"))
     return clusters.alike_groups(rows, leaves, counts).select(F.col("root").alias("cluster_doc_id"), F.col("node").alias("doc_id"))

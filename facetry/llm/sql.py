@@ -75,6 +75,15 @@ SQL = {
       then 'hard' else 'soft' end as cut from texts where length(text) > 2000""",
     "p2_cores": _TEXTS + "select corpus, doc_id, md5(text) as digest, false as too_long from texts where text is not null",
     "p4_found": _SAME + _CLOSED.format(root="group_doc_id"),
+    "p4_coverage": _SAME + """,
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+later as (select a from reach group by a having min(b) < a),
+w as (select topic_id, doc_id, arg_max_null(weight, loaded_at) as weight from topic2doc_dist where topic_id is not null and doc_id is not null group by 1, 2),
+cells as (
+  select 'doc' as kind, doc_id, feature from (select doc_id, unnest(range(len(theta))) as feature, unnest(theta) as x from rows where doc_id is not null) where x > 0 and not isnan(x)
+  union all
+  select 'topic', doc_id, topic_id from w where weight > 0 and not isnan(weight))
+select least(300, count(distinct doc_id)) as records, 0::bigint as doubles, count(distinct (kind, feature)) as features from cells where doc_id not in (select a from later)""",
     "p5_found": _ALIKE + _CLOSED.format(root="cluster_doc_id"),
     "p5_totals": "select count(distinct doc_id) as records, 0::bigint as wide, true as several from wikitext where doc_id is not null",
     "p6_scores": _DISTINCT + "select owner, owner_id, term, round(score, 9) + 0.0 as score from scores",

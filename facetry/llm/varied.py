@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from facetry.operators.components import connected_components
 from facetry.sources.tables import latest, stored
 
-#: Rows of a slot that nominates, rows of a cell compared in one task, most cell coordinates.
-SLOT_ROWS, CELL_ROWS, MOST_COORDINATES = 4096, 4096, 24
+#: Rows of a slot that nominates, rows of a cell compared in one task, most cell coordinates, rows taken by one round.
+SLOT_ROWS, CELL_ROWS, MOST_COORDINATES, ROUND_ROWS = 4096, 4096, 24, 96
 #: Cosine from which two records say the same, and width of a cell along a pivot direction.
 SAME, WIDTH = 0.999, 0.25
+#: Random directions of the sketch by which the rows of a cell are compared first, rows that a cell should have at
+#: most on average, how often a row may be in a cell on average, and width of the bins that place the cells.
+SKETCH, AIM, REPEATS, BIN = 24, 256, 2.0, 0.01
 
 
 def unit_rows(rows: DataFrame, col: str, width: int) -> DataFrame:
@@ -64,16 +67,17 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def pivot(ids: np.ndarray, rows: np.ndarray, k: int, least: float = 1e-6) -> list[int]:
+def pivot(ids: np.ndarray, rows: np.ndarray, k: int, least: float = 1e-6, scale: float | None = None) -> list[int]:
     """Positions of at most ``k`` rows in the order that pivoted QR takes them.
 
     Each step takes the row with the largest part outside the span of those taken, of equal
-    ones (to 12 places) the smallest id; it ends where no row has a part above ``least``.
+    ones (to 12 places) the smallest id; it ends where no row has a part above ``least`` of
+    ``scale``, the longest row's square where that isn't given.
     """
     order = np.argsort(ids, kind="stable")
     x = rows[order]
     rest = np.einsum("ij,ij->i", x, x)
-    scale = rest.max(initial=0.0)
+    scale = rest.max(initial=0.0) if scale is None else scale
     basis = np.zeros((0, x.shape[1]))
     taken: list[int] = []
     while len(taken) < min(k, len(x)):
@@ -93,9 +97,11 @@ def pivot(ids: np.ndarray, rows: np.ndarray, k: int, least: float = 1e-6) -> lis
     return [int(order[i]) for i in taken]
 
 
-def tournament(rows: DataFrame, k: int, n_rows: int) -> DataFrame:
+def tournament(rows: DataFrame, k: int, n_rows: int, known: np.ndarray | None = None) -> DataFrame:
     """(doc_id, v, place): at most ``k`` linearly independent rows by tournament-pivoted QR.
 
+    With ``known``, an orthonormal basis, rows are first deflated: only their parts outside of it count and are given.
+
     Slots of about :data:`SLOT_ROWS` rows, by a hash of the id, each nominate up to k rows by
     pivoted QR; pairs of slots then meet in a tree and re-pivot the nominees of both, until one
     slot is left. A task never holds more than a slot or two sets of nominees, and the result
@@ -103,15 +109,23 @@ def tournament(rows: DataFrame, k: int, n_rows: int) -> DataFrame:
     """
     levels = max(0, math.ceil(math.log2(max(1, n_rows) / SLOT_ROWS)))
 
-    def nominate(table: pa.Table) -> pa.Table:
-        kept = pivot(table["doc_id"].to_numpy(), _matrix(table["v"]), k)
-        picked = table.take(pa.array(kept, pa.int64())).select(["slot", "doc_id", "v"])
-        return picked.append_column("place", pa.array(range(len(kept)), pa.int32()))
+    def nominate(first: bool):
+        def run(table: pa.Table) -> pa.Table:
+            x = _matrix(table["v"])
+            if first and known is not None and len(known):
+                x = x - (x @ known.T) @ known
+                x -= (x @ known.T) @ known
+            kept = pivot(table["doc_id"].to_numpy(), x, k, scale=1.0)
+            v = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * x.shape[1] + 1, max(1, x.shape[1]), dtype="int32")), pa.array(x[kept].ravel()))
+            at = pa.array(kept, pa.int64())
+            return pa.table({"slot": table["slot"].take(at), "doc_id": table["doc_id"].take(at), "v": v, "place": pa.array(range(len(kept)), pa.int32())})
+
+        return run
 
     schema = "slot int, doc_id bigint, v array<double>, place int"
-    state = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << levels)).cast("int").alias("slot"), "doc_id", "v").groupBy("slot").applyInArrow(nominate, schema)
+    state = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << levels)).cast("int").alias("slot"), "doc_id", "v").groupBy("slot").applyInArrow(nominate(True), schema)
     for _ in range(levels):
-        state = state.select(F.shiftright("slot", 1).alias("slot"), "doc_id", "v").groupBy("slot").applyInArrow(nominate, schema)
+        state = state.select(F.shiftright("slot", 1).alias("slot"), "doc_id", "v").groupBy("slot").applyInArrow(nominate(False), schema)
     return state.select("doc_id", "v", "place")
 
 
@@ -141,17 +155,66 @@ def _linked(ids: np.ndarray, x: np.ndarray, same: float, block: int = 512) -> tu
     return node, root
 
 
-def _in_cells(rows: DataFrame, basis: np.ndarray, apart: float) -> DataFrame:
-    """(cell, doc_id, v) with every row in each cell that it shares with a row at distance ``apart`` or less.
+def _grid(rows: DataFrame, basis: np.ndarray, apart: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The directions of ``basis`` to cut along and where each one's first cut lies, so that rows are seldom near a cut.
+
+    From one histogram along each direction (counted in the tasks, of a fixed size), the cuts, :data:`WIDTH`
+    apart, are moved to where the fewest rows lie just below one. Directions are taken, those first that part the most
+    rows for the repeats they cost, until cells have :data:`AIM` rows on average, or rows would be repeated
+    more than :data:`REPEATS` times.
+    """
+    bins, per = int(round(2 / BIN)) + 2, int(round(WIDTH / BIN))
 
-    A cell is an interval along every pivot direction. As projections never lengthen a distance,
+    def run(batches):
+        held = np.zeros((len(basis), bins), "int64")
+        for b in batches:
+            at = np.clip(np.floor((_matrix(b.column(0)) @ basis.T + 1) / BIN).astype("int64"), 0, bins - 1)
+            for j in range(len(basis)):
+                held[j] += np.bincount(at[:, j], minlength=bins)
+        j, i = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(j.astype("int32")), pa.array(i.astype("int32")), pa.array(held[j, i])], names=["j", "i", "n"])
+
+    found = np.zeros((len(basis), bins))
+    for r in rows.select("v").mapInArrow(run, "j int, i int, n bigint").groupBy("j", "i").agg(F.sum("n").alias("n")).collect():
+        found[r["j"], r["i"]] = r["n"] / n
+    reach = math.ceil(apart / BIN) + 1
+    choices = []
+    for j, h in enumerate(found):
+        upto = np.concatenate([[0], np.cumsum(h)])
+        best = None
+        for o in range(per):
+            cuts = np.arange(o, bins + 1, per)
+            near = (upto[cuts] - upto[np.maximum(cuts - reach, 0)]).sum()
+            shares = np.diff(upto[np.concatenate([[0], cuts, [bins]])])
+            met = float((shares * shares).sum())  # how likely two rows fall into one cell
+            score = -math.log(max(met, 1e-9)) / (near + 0.02)
+            if best is None or score > best[0]:
+                best = (score, float(near), met, o * BIN - 1)
+        choices.append((best, j))
+    taken, repeats, size = [], 1.0, float(n)
+    for (_, near, met, first), j in sorted(choices, key=lambda c: -c[0][0]):
+        if size > AIM and repeats * (1 + near) <= REPEATS and met < 0.98:
+            taken.append((j, first))
+            repeats, size = repeats * (1 + near), size * met
+    return np.array([j for j, _ in taken], "int64"), np.array([f for _, f in taken])
+
+
+def _in_cells(rows: DataFrame, basis: np.ndarray, first: np.ndarray, apart: float) -> DataFrame:
+    """(cell, doc_id, z) with every row in each cell that it shares with a row at distance ``apart`` or less.
+
+    A cell is an interval along every direction of ``basis``. As projections never lengthen a distance,
     two such rows lie in the same or in neighbouring intervals; a row less than ``apart`` below
-    an upper edge also enters the next interval, so any such pair meets in at least one cell.
+    an upper edge also enters the next interval, so any such pair meets in at least one cell. z is a sketch:
+    the row's projection to :data:`SKETCH` random directions, in which they aren't further apart either.
     """
+    width = basis.shape[1]
+    random, _ = np.linalg.qr(np.random.default_rng(11).normal(size=(width, min(SKETCH, width))))
 
     def run(batches):
         for b in batches:
-            y = _matrix(b.column(1)) @ basis.T / WIDTH + 0.5
+            x = _matrix(b.column(1))
+            z = (x @ random).astype("float32")
+            y = (x @ basis.T - first) / WIDTH
             home, over = np.floor(y).astype("int64"), (np.ceil(y) - y) * WIDTH <= apart * 1.001
             owner, cells = np.arange(len(y)), home
             for j in range(y.shape[1]):
@@ -162,11 +225,66 @@ def _in_cells(rows: DataFrame, basis: np.ndarray, apart: float) -> DataFrame:
             code = np.zeros(len(cells), "int64")
             for j in range(cells.shape[1]):
                 code = code * np.int64(1000003) + cells[:, j]
-            for i in range(0, len(owner), 4096):
-                of = pa.array(owner[i : i + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 4096]), b.column(0).take(of), b.column(1).take(of)], names=["cell", "doc_id", "v"])
+            for i in range(0, len(owner), 1 << 14):
+                of = owner[i : i + (1 << 14)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, z[of].size + 1, z.shape[1], dtype="int32")), pa.array(z[of].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(code[i : i + (1 << 14)]), b.column(0).take(pa.array(of)), lists], names=["cell", "doc_id", "z"])
+
+    return rows.select("doc_id", "v").mapInArrow(run, "cell bigint, doc_id bigint, z array<float>")
 
-    return rows.select("doc_id", "v").mapInArrow(run, "cell bigint, doc_id bigint, v array<double>")
+
+def _by_group(link):
+    """A map over rows that come in the order of their first column: ``link`` (ids, vectors) of each group of several rows.
+
+    Columns are group, doc_id and vector; ``link`` gives members and roots. The result has group, doc_id and root.
+    """
+
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        key, ids, x = table.column(0).to_numpy(), table["doc_id"].to_numpy(), _matrix(table.column(2))
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        out = [[np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0, "int64")]]
+        for i, j in zip(begins.tolist(), np.append(begins[1:], len(key)).tolist()):
+            if j - i > 1:
+                node, root = link(ids[i:j], x[i:j])
+                for held, new in zip(out, (np.full(len(node), key[i]), node, root)):
+                    held.append(np.asarray(new, "int64"))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["of", "doc_id", "root"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column(0).to_numpy()
+            changed = np.flatnonzero(key[1:] != key[:-1])  # the last group may go on
+            if len(changed):
+                yield groups(table.slice(0, int(changed[-1]) + 1).combine_chunks())
+                table = table.slice(int(changed[-1]) + 1)
+            held = table.to_batches()
+        if held:
+            yield groups(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _near(apart: float):
+    """Stars of the connected sets of rows at most ``apart`` from each other, a rounding error more allowed."""
+
+    def link(ids: np.ndarray, z: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        z, root = z.astype("float64"), np.arange(len(ids))
+        square = np.einsum("ij,ij->i", z, z)
+        for i in range(0, len(z), block):
+            close = square[i : i + block, None] + square[None, :] - 2 * z[i : i + block] @ z.T <= apart * apart + 1e-5
+            for a, b in zip(*np.nonzero(np.triu(close, i + 1))):
+                p, q = root[i + a], root[b]
+                if p != q:
+                    root[root == max(p, q)] = min(p, q)
+        least = np.full(len(ids), np.iinfo("int64").max)
+        np.minimum.at(least, root, ids)
+        kept = np.bincount(root, minlength=len(ids))[root] > 1
+        return ids[kept], least[root][kept]
+
+    return link
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -197,9 +315,10 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     same if the cosine of their vectors is at least ``same``; groups are the connected sets.
 
     Method: equal vectors are one row from the start. Tournament-pivoted QR gives the directions
-    along which the rows differ most; cells between steps along them bring every pair near enough
-    together (:func:`_in_cells`), and an exact check within each cell links it. A cell with more
-    than :data:`CELL_ROWS` rows is first thinned around a leader, which a group of near copies
+    along which the rows differ most; cells between cuts along them (:func:`_grid`) bring every pair near enough
+    together (:func:`_in_cells`). Rows travel there as short sketches; the vectors are only
+    joined to rows that have a neighbour by sketch in their cell, and an exact check among these links them.
+    A cell with more than :data:`CELL_ROWS` rows is first thinned around a leader, which a group of near copies
     holding a third of all rows shrinks to a few, and what is left is compared in pairs of blocks.
     Cells give stars, not pairs, whose connected components are found without the driver.
     """
@@ -211,14 +330,33 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     n = units.count()
     if n < 2:
         return connected_components(equal)
-    basis = directions(units, min(MOST_COORDINATES, max(1, math.ceil(math.log2(n / 96 + 1) / 1.2))), n)
-    cells = _in_cells(units, basis, apart)
+    basis = directions(units, MOST_COORDINATES, n)
+    chosen, first = _grid(units, basis, apart, n)
+    cells = stored(_in_cells(units, basis[chosen], first, apart))
+    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).select("cell")
+    large = stored(large)
     found = equal
+    small = cells
+    if not large.isEmpty():
+        small = cells.join(large, "cell", "left_anti")
+        crowded = cells.join(large, "cell", "left_semi").select("cell", "doc_id").join(units, "doc_id").select("cell", "doc_id", "v")
+        found = found.unionByName(_in_crowded(stored(crowded), same, apart))
+    sets = small.select("cell", "doc_id", "z").repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_group(_near(apart)), "of bigint, doc_id bigint, root bigint")
+    sets = sets.select(F.xxhash64("of", "root").alias("set"), "doc_id").join(units, "doc_id").select("set", "doc_id", "v")
+    exact = _by_group(lambda ids, x: _linked(ids, x, same))
+    links = sets.repartition("set").sortWithinPartitions("set").mapInArrow(exact, "of bigint, doc_id bigint, root bigint").select("doc_id", "root")
+    return connected_components(found.unionByName(links))
+
+
+def _in_crowded(cells: DataFrame, same: float, apart: float) -> DataFrame:
+    """Links (doc_id, root) within cells (cell, doc_id, v) of very many rows."""
+    found = None
     rows_in, hot = None, _hot(cells)
     while hot is not None and (rows_in is None or hot[1] < 0.75 * rows_in):
         rows_in = hot[1]
         links, cells = _thinned(cells, hot[0], apart)
-        found, cells = found.unionByName(links.toDF("doc_id", "root")), stored(cells)
+        links = links.toDF("doc_id", "root")
+        found, cells = links if found is None else found.unionByName(links), stored(cells)
         hot = _hot(cells)
     if hot is not None:
         cells = _block_pairs(cells, hot[0])
@@ -229,7 +367,8 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
         node, root = _linked(table["doc_id"].to_numpy(), _matrix(table["v"]), same)
         return pa.table({"doc_id": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())})
 
-    return connected_components(found.unionByName(cells.groupBy("cell", "part").applyInArrow(link, "doc_id bigint, root bigint")))
+    links = cells.groupBy("cell", "part").applyInArrow(link, "doc_id bigint, root bigint")
+    return links if found is None else found.unionByName(links)
 
 
 def _hot(cells: DataFrame) -> tuple[DataFrame, int] | None:
@@ -252,21 +391,31 @@ def _block_pairs(cells: DataFrame, hot: DataFrame) -> DataFrame:
 def varied_subset(rows: DataFrame, k: int) -> DataFrame:
     """(doc_id, round, place): ``k`` rows of ``rows`` (doc_id, v) that vary most, all of them if there are fewer.
 
-    Each round takes the rows of a tournament-pivoted QR, at most as many as the vectors have
-    independent directions; the next round runs over the rows not yet taken. Rows without a
-    positive length are never taken. After a first round of full rank every feature that is
+    Each round takes up to :data:`ROUND_ROWS` rows of a tournament-pivoted QR; the rows left are deflated by
+    the directions taken so far for the next. Where nothing is left outside of these, the next round
+    begins anew over the rows not yet taken. Rows without a
+    positive length are never taken. After rounds of full rank every feature that is
     active anywhere is active in a row taken.
     """
     rows = stored(rows)
-    n, taken, found, turn = rows.count(), 0, None, 0
+    n, taken, found, turn, known = rows.count(), 0, None, 0, None
     while taken < k and n > taken:
-        more = stored(tournament(rows, k - taken, n - taken).select("doc_id", F.lit(turn).alias("round"), "place"))
+        asked = min(ROUND_ROWS, k - taken)
+        more = stored(tournament(rows, asked, n - taken, known))
+        ids = more.select("doc_id", F.lit(turn).alias("round"), "place")
         got = more.count()
-        if not got:
+        if got:
+            found = ids if found is None else found.unionByName(ids)
+            rows = rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")  # at most ROUND_ROWS ids
+            taken, turn = taken + got, turn + 1
+        if got == asked:  # at most ROUND_ROWS rows reach the driver
+            new = np.array([r["v"] for r in more.orderBy("place").select("v").collect()]).T
+            q, _ = np.linalg.qr(new if known is None else np.hstack([known.T, new]))
+            known = q.T
+        elif got or known is not None:
+            known = None
+        else:
             break
-        found = more if found is None else found.unionByName(more)
-        rows = rows.join(F.broadcast(more.select("doc_id")), "doc_id", "left_anti")  # at most k ids
-        taken, turn = taken + got, turn + 1
     return found if found is not None else rows.sparkSession.createDataFrame([], "doc_id bigint, round int, place int")
 
 
