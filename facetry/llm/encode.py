@@ -19,8 +19,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG = 1 << 16
 #: Ids in an Arrow batch that a task sends back.
 BATCH_IDS = 1 << 20
-#: Between two characters that aren't white space, a space always begins a new piece.
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: White space after a visible character always begins a new piece, as does a mark or digit after a letter
+#: (the control characters 1C to 1F are white space in Python only).
+_SAFE = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])|(?<=[A-Za-z\u3400-\u4dbf\u4e00-\u9fff])(?=[!-@\[-`{-~、。，：；？！])")
 _loaded: dict[str, object] = {}
 
 

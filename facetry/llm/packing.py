@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from facetry.sources.tables import stored
 
 CAPACITY = 2048
-#: Patterns tried for each length, items in one at most, steps of the fit, slices of a length.
-PER_LENGTH, MOST_ITEMS, STEPS, SLICES = 4, 12, 300, 64
+#: Patterns tried for each length, items in one at most, steps of the fit, items of a length that a task ranks.
+PER_LENGTH, MOST_ITEMS, STEPS, SLICE_ROWS = 4, 12, 300, 1 << 17
 
 Recipe = tuple[int, list[tuple[int, int]]]  # how often, [(length, how many)]
 
@@ -130,18 +130,20 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "tokens", cap
     Method: the histogram of piece sizes (at most ``capacity`` rows, so bounded whatever the data)
     goes to the driver, where repeat counts of few-item patterns are fitted to it by non-negative
     least squares, rounded, and the residual packed (:func:`recipes`). Items are ranked within
-    their size, a frequent size in slices by hash whose counts give each slice its first rank, and
-    take their rank's place; no item goes to the driver and no size to a single task.
+    their size, a frequent size in slices by hash of about :data:`SLICE_ROWS`, whose counts give each slice its
+    first rank, and take their rank's place; no item goes to the driver and no frequent size to a single task.
     """
     kind = dict(sizes.dtypes)[id_col]
     n = F.greatest(F.ceil(F.coalesce(F.col(size_col), F.lit(0)) / F.lit(capacity)), F.lit(1)).cast("int")
     whole = sizes.select(F.col(id_col), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("__all"), n.alias("n_pieces"))
     parts = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
     parts = parts.withColumn("from_size", F.col("piece").cast("bigint") * capacity).withColumn("size", F.least(F.lit(capacity).cast("bigint"), F.col("__all") - F.col("from_size"))).drop("__all")
-    histogram = {r["size"]: r["n"] for r in parts.where("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = slots(recipes(histogram, capacity))
+    histogram = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    places = slots(recipes({k: n for k, n in histogram.items() if k > 0}, capacity))
 
-    sliced = parts.withColumn("slice", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SLICES)))
+    frequent = [(k, -(-n // SLICE_ROWS)) for k, n in histogram.items() if n > SLICE_ROWS]
+    frequent = F.broadcast(sizes.sparkSession.createDataFrame(frequent, "size bigint, slices bigint"))  # at most one row a size
+    sliced = parts.join(frequent, "size", "left").withColumn("slice", F.pmod(F.xxhash64(id_col, "piece"), F.coalesce("slices", F.lit(1).cast("bigint"))))
     ranked = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("size", "slice").orderBy(id_col, "piece")) - 1)
     per = sliced.groupBy("size", "slice").agg(F.count(F.lit(1)).alias("n"))
     first = per.select("size", "slice", (F.sum("n").over(Window.partitionBy("size").orderBy("slice")) - F.col("n")).alias("first"))
