@@ -20,27 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (single-machine sessions such as the tests) is a local
-    folder made and set.
+    Only where that is unset in a single-machine session (such as the tests) is a local
+    folder made and set; a cluster without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("facetry.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="facetry-")
         spark.conf.set("facetry.checkpoint.dir", found)
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back, with a folder for each value of the column ``by``, if given.
 
     Cuts the lineage, survives lost executors, and is computed exactly once however
     often the result is used. :func:`drop_stored` removes what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/facetry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
