@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,9 +20,8 @@ from facetry.sources.tables import latest, stored
 LABELLED = 12_000
 #: Rows of the table of word and subword vectors, their width, and the lengths of subwords.
 BUCKETS, WIDTH, SUBWORDS = 1 << 16, 16, (4, 5)
-#: Partitions that learn side by side, rounds after which they synchronise, gradient steps that each
-#: partition takes at least (small data take more rounds), sentences of a step, step size.
-LEARNERS, ROUNDS, LEAST_STEPS, SENTENCES, RATE = 4, 5, 150, 128, 0.5
+#: Gradient steps that go once through the sentences, how often they do, step size, and most partitions that share a step.
+STEPS, EPOCHS, RATE, MOST_LEARNERS = 30, 2, 0.5, 16
 #: Output from which a sentence treats an area beyond doubt, and by how much context may lift others.
 SURE, CONTEXT = 2.0, 1.5
 #: Words of a sentence whose vectors are remembered by a worker.
@@ -29,33 +29,60 @@ REMEMBERED = 400_000
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_LINES = re.compile(r"[\r\n  \x85]+|<[^>]{0,200}>")
-_ENDS = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]]*\s+(?=\S)")
+_LINES = re.compile(r"[\r\n\u2028\u2029\x85]+|<[A-Za-z/!?][^<>]*>")
+_ENDS = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]」』]*\s+(?=\S)|(?<=[。！？])[\"'”’»)\]」』]*(?=\S)")
+_ENDED = re.compile(r"[.!?。！？…][\"'”’»)\]」』\s]*$")
+#: Scripts that put no space between words: Thai and Lao, Burmese, Khmer, Kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+")
+
+
+def words(part: str) -> list[str]:
+    """The lower-cased words; of scripts without spaces every two neighbouring characters are one."""
+    found = _WORD.findall(part.lower())
+    if part.isascii() or not _UNSPACED.search(part):
+        return found
+    out = []
+    for w in found:
+        at = 0
+        for m in _UNSPACED.finditer(w):
+            run = m.group()
+            out += [w[at : m.start()]] if m.start() > at else []
+            out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+            at = m.end()
+        out += [w[at:]] if at < len(w) else []
+    return out
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """The words of each sentence, lower-cased; headings, list marks and lines without sentence are left out.
 
-    A sentence ends at a full stop, exclamation or question mark before white space, or at the end
-    of its line. Entities are read as the characters they stand for, invisible characters removed.
+    A sentence ends at a full stop, exclamation or question mark before white space (an ideographic
+    one anywhere), or at the end of its line; one of fewer than four words must end with such a mark. Entities
+    are read as the characters they stand for, invisible characters and tags removed.
     """
     out = []
     for line in _LINES.split(_INVISIBLE.sub("", html.unescape(text or ""))):
         for part in _ENDS.split(line):
-            words = _WORD.findall(part.lower())
-            if len(words) > 3:
-                out.append(words)
+            found = words(part)
+            if len(found) > 3 or (len(found) > 1 and _ENDED.search(part)):
+                out.append(found)
     return out
 
 
-@lru_cache(maxsize=1 << 17)
 def features(word: str) -> tuple[int, ...]:
-    """Rows of the vector table that make up a word: its own and those of its subwords (first of a very long word)."""
-    marked = f"<{word[:64]}>"
+    """Rows of the vector table that make up a word: its own and those of its subwords."""
+    return _known(word) if len(word) <= 64 else _features(word)
+
+
+def _features(word: str) -> tuple[int, ...]:
+    marked = f"<{word}>"
     subwords = (marked[i : i + n] for n in SUBWORDS for i in range(len(marked) - n + 1))
     return (zlib.crc32(word.encode()) % BUCKETS, *(zlib.crc32(b"#" + w.encode()) % BUCKETS for w in subwords))
 
 
+_known = lru_cache(maxsize=1 << 17)(_features)
+
+
 class Model:
     """Averaged word and subword vectors with an independent logistic output for each subject."""
 
@@ -123,110 +150,117 @@ class Batch:
         return np.add.reduceat(d_vec[self.word_of], self.feature_at, axis=0), e.T @ mean, e.sum(0)
 
 
-def learn(model: Model, batches: list[Batch], rate: float) -> Model:
-    """The model after one gradient step for each batch, each parameter by its own gradients so far (Adagrad)."""
-    v, out, bias = model.vectors.copy(), model.out.copy(), model.bias.copy()
-    seen = [np.full(len(v), 1e-2, "float32"), np.full(out.shape, 1.0, "float32"), np.full(bias.shape, 10.0, "float32")]
-    for b in batches:
-        g, g_out, g_bias = b.gradients(v[b.used], out, bias)
-        seen[0][b.used] += np.einsum("ij,ij->i", g, g)
-        v[b.used] -= rate * g / np.sqrt(seen[0][b.used])[:, None]
-        seen[1] += g_out * g_out
-        out -= rate * g_out / np.sqrt(seen[1])
-        seen[2] += g_bias * g_bias
-        bias -= rate * g_bias / np.sqrt(seen[2])
-    return Model(model.subjects, v, out, bias)
-
-
 def labelled(documents: DataFrame, labels: DataFrame, wikitext: DataFrame, bills: DataFrame, areas: list[str], bound: int = LABELLED) -> DataFrame:
     """(text, subject) to learn from: records that are known to be about exactly one area, ``bound`` at most of all.
 
     Hand-labelled documents with one distinct label, wikitext records by their supercategory and
     bills by their topic; labels are read trimmed and lower-cased, and those that are no area left out. All
-    hand-labelled documents come before the others, which are taken by a hash of their text.
+    hand-labelled documents come before the others, which are taken by a hash of their ids.
+
+    Which records those are is found without a text: a histogram of their hashes, of a fixed
+    size, gives the hash up to which records are taken, and only texts below it are shuffled.
     """
 
     def read(subject: str):
         return F.lower(F.trim(subject)).alias("subject")
 
+    space = (1 << 31) - 1
+    mark = F.xxhash64("doc_id").bitwiseAND(space).alias("mark")
     marks = labels.select("doc_id", read("subject")).where(F.col("subject").isin(areas))
     single = marks.groupBy("doc_id").agg(F.min("subject").alias("subject"), F.max("subject").alias("other")).where("subject = other").drop("other")
-    hand = documents.select("doc_id", "text").join(single, "doc_id").select(F.lit(0).alias("source"), "text", "subject")
-    wiki = latest(wikitext, ["doc_id"], ["text", "supercategory"]).select(F.lit(1).alias("source"), "text", read("supercategory"))
-    bill = latest(bills, ["doc_id"], ["summary", "topic"]).select(F.lit(1).alias("source"), F.col("summary").alias("text"), read("topic"))
-    rows = hand.unionByName(wiki).unionByName(bill).where(F.col("text").isNotNull() & F.col("subject").isin(areas))
-    return rows.orderBy("source", F.xxhash64("text"), "text", "subject").limit(bound).drop("source")
+    sources = [(single, None), (wikitext, "supercategory"), (bills, "topic")]
+    known = [(df if c is None else latest(df.where("doc_id is not null"), ["doc_id"], [c]).select("doc_id", read(c))).where(F.col("subject").isin(areas)).select(F.lit(c is not None).alias("later"), mark) for df, c in sources]
+    known = stored(known[0].unionByName(known[1]).unionByName(known[2]))
+    n = {r["later"]: r["n"] for r in known.groupBy("later").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, left = {}, bound
+    for later in (False, True):
+        if n.get(later, 0) <= left:
+            least[later], left = space, left - n.get(later, 0)
+            continue
+        reach = min(1.0, 2 * (left + 100) / n[later]) * space
+        width = max(1, int(reach / (1 << 16)))
+        counts = known.where((F.col("later") == later) & (F.col("mark") <= int(reach))).groupBy(F.floor(F.col("mark") / width).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+        edge = 0
+        for r in sorted(counts.collect()):
+            if r["n"] > left:
+                break
+            left, edge = left - r["n"], (r["i"] + 1) * width - 1
+        least[later], left = edge if edge else -1, 0
+    few = F.broadcast(single.where(mark <= least[False]))  # at most ``bound`` rows
+    hand = documents.select("doc_id", "text").join(few, "doc_id").select("text", "subject")
+    wiki = latest(wikitext.where("doc_id is not null").where(mark <= least[True]), ["doc_id"], ["text", "supercategory"]).select("text", read("supercategory"))
+    bill = latest(bills.where("doc_id is not null").where(mark <= least[True]), ["doc_id"], ["summary", "topic"]).select(F.col("summary").alias("text"), read("topic"))
+    return hand.unionByName(wiki).unionByName(bill).where(F.col("text").isNotNull() & F.col("subject").isin(areas))
+
+
+def _batches(areas: list[str], steps: int):
+    """A map over labelled texts: what their sentences add to each of the steps, as a pickled :class:`Batch`."""
+    place = {a: i for i, a in enumerate(areas)}
 
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple[list[str], int]]] = {}
+        for b in tables:
+            for text, subject in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, s in enumerate(sentences(text)):
+                    found.setdefault(zlib.crc32(f"{i} {' '.join(s)}".encode()) % steps, []).append((s, place[subject]))
+        for step, rows in sorted(found.items()):
+            rows.sort()
+            batch = Batch([s for s, _ in rows], np.eye(len(areas))[[k for _, k in rows]])
+            yield pa.RecordBatch.from_arrays([pa.array([step], pa.int32()), pa.array([pickle.dumps(batch)], pa.binary())], names=["step", "batch"])
 
-_STATE = "part int, rows bigint, used array<int>, vectors binary, out binary, bias binary"
+    return run
 
 
-def _step(areas: list[str], now, turn: int, rate: float):
-    """One round of a partition: its labelled texts in, the changes of the parameters out."""
-    place = {a: i for i, a in enumerate(areas)}
+def _gradients(now):
+    """A map over batches: the gradients of each by the parameters ``now`` broadcast, with the rows of the vector table they are for."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            for blob in t.column(0).to_pylist():
+                batch = pickle.loads(blob)
+                vectors, out, bias = now.value
+                g = batch.gradients(vectors[batch.used], out, bias)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.used.astype("int32").tobytes(), *(a.astype("float32").tobytes() for a in g))], names=["used", "vectors", "out", "bias"])
 
-    def step(table: pa.Table) -> pa.Table:
-        start = Model(areas, *now.value)
-        found, wanted, batches = [], [], []
-
-        def flush() -> None:
-            if found:
-                batches.append(Batch(found, np.eye(len(areas))[wanted]))
-                found.clear()
-                wanted.clear()
-
-        pairs = sorted(zip(table["text"].to_pylist(), table["subject"].to_pylist()))
-        for i in np.random.default_rng(turn).permutation(len(pairs)):
-            for s in sentences(pairs[i][0]):
-                found.append(s)
-                wanted.append(place[pairs[i][1]])
-                if len(found) == SENTENCES:
-                    flush()
-        flush()
-        ended = learn(start, batches, rate)
-        used = np.unique(np.concatenate([np.zeros(0, "int64"), *(b.used for b in batches)]))
-        changed = [(ended.vectors - start.vectors)[used].tobytes(), (ended.out - start.out).tobytes(), (ended.bias - start.bias).tobytes()]
-        rows = sum(len(b.labels) for b in batches)
-        return pa.table({"part": table["part"][:1], "rows": pa.array([rows], pa.int64()), "used": pa.array([used.tolist()], pa.list_(pa.int32())), "vectors": [changed[0]], "out": [changed[1]], "bias": [changed[2]]})
-
-    return step
-
-
-def train(rows: DataFrame, areas: list[str], learners: int = LEARNERS, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    return run
+
+
+def train(rows: DataFrame, areas: list[str], steps: int = STEPS, epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Word and subword vectors averaged over a sentence, with one independent logistic output for each area.
 
     Every sentence of a record carries the record's subject; a sentence about nothing occurs under all
-    subjects alike, so its words learn to speak for none. The rows are spread over ``learners``
-    partitions by hash. In every round each partition takes one gradient step for each
-    batch of its sentences, starting from the same parameters; the changes are averaged on the
-    driver (at least ``rounds`` times, and until each has taken :data:`LEAST_STEPS` steps; its part is bounded by the size of the model) and sent out again.
+    subjects alike, so its words learn to speak for none. Sentences are spread over as many
+    partitions as there are cores (:data:`MOST_LEARNERS` at most, which bounds what reaches the driver to so many
+    times the model) and, by their hashes, over ``steps``. In every step all partitions give the gradients of their sentences by the same
+    parameters; the driver adds them up, steps each parameter by its own gradients so far (Adagrad)
+    and sends the parameters out again, ``epochs`` times through all steps. How the rows are
+    partitioned doesn't change the model but for the rounding of sums.
     """
     spark = rows.sparkSession
+    learners = max(1, min(MOST_LEARNERS, spark.sparkContext.defaultParallelism))
+    data = stored(rows.select("text", "subject").repartition(learners, F.xxhash64("text")).mapInArrow(_batches(areas, steps), "step int, batch binary"), by="step")
     model = Model.fresh(areas)
-    data = stored(rows.select(F.pmod(F.xxhash64("text"), F.lit(learners)).cast("int").alias("part"), "text", "subject"))
-
-    turn = steps = 0
-    while turn < rounds or steps < LEAST_STEPS:
-        now = spark.sparkContext.broadcast((model.vectors, model.out, model.bias))
-        step = _step(areas, now, turn, rate)
-        parts = data.groupBy("part").applyInArrow(step, _STATE).toArrow().to_pylist()
-        total = sum(p["rows"] for p in parts)
-        if not total:
-            return model
-        vectors, out, bias = model.vectors.copy(), model.out.copy(), model.bias.copy()
-        heard = np.zeros(len(vectors), "float32")
-        moved = np.zeros_like(vectors)
-        for p in sorted(parts, key=lambda p: p["part"]):
-            used = np.array(p["used"], "int64")
-            if len(used):
-                moved[used] += np.frombuffer(p["vectors"], "float32").reshape(len(used), -1)
-                heard[used] += 1
-            out += np.frombuffer(p["out"], "float32").reshape(out.shape) * (p["rows"] / total)
-            bias += np.frombuffer(p["bias"], "float32") * (p["rows"] / total)
-        model = Model(areas, vectors + moved / np.maximum(heard, 1)[:, None], out, bias)
+    if data.isEmpty():
+        return model
+    v, out, bias = model.vectors, model.out, model.bias
+    seen = [np.full(len(v), 1e-2, "float32"), np.full(out.shape, 1.0, "float32"), np.full(bias.shape, 10.0, "float32")]
+    for turn in range(steps * epochs):
+        now = spark.sparkContext.broadcast((v, out, bias))
+        schema = "used binary, vectors binary, out binary, bias binary"
+        parts = data.where(F.col("step") == turn % steps).select("batch").mapInArrow(_gradients(now), schema).toArrow().to_pylist()
+        g, g_out, g_bias = np.zeros_like(v), np.zeros_like(out), np.zeros_like(bias)
+        for p in sorted(parts, key=lambda p: p["used"]):
+            g[np.frombuffer(p["used"], "int32")] += np.frombuffer(p["vectors"], "float32").reshape(-1, v.shape[1])
+            g_out += np.frombuffer(p["out"], "float32").reshape(out.shape)
+            g_bias += np.frombuffer(p["bias"], "float32")
+        seen[0] += np.einsum("ij,ij->i", g, g)
+        v = v - rate * g / np.sqrt(seen[0])[:, None]
+        seen[1] += g_out * g_out
+        out = out - rate * g_out / np.sqrt(seen[1])
+        seen[2] += g_bias * g_bias
+        bias = bias - rate * g_bias / np.sqrt(seen[2])
         now.unpersist()
-        turn, steps = turn + 1, steps + -(-total // (SENTENCES * learners))
-    return model
+    return Model(areas, v, out, bias)
 
 
 def subject_counts(documents: DataFrame, model: Model) -> DataFrame:

@@ -342,7 +342,7 @@ def test_subjects_of_held_out_documents(spark):
     areas = subjects.areas_of(t["subject_areas"])
     wiki = t["wikitext"].where("supercategory is not null and text is not null").dropDuplicates(["doc_id"])
     held = wiki.where("doc_id % 4 = 0")
-    model = subjects.train(subjects.labelled(t["documents"], t["subject_labels"], wiki.where("doc_id % 4 <> 0"), t["bills"], areas, 900), areas, rounds=4)
+    model = subjects.train(subjects.labelled(t["documents"], t["subject_labels"], wiki.where("doc_id % 4 <> 0"), t["bills"], areas, 900), areas)
     got = subjects.subject_counts(held, model).where("treated * 3 >= n_sentences").join(held.select("doc_id", F.lower("supercategory").alias("truth")), "doc_id").collect()
     right = {r.doc_id for r in got if r.subject == r.truth}
     assert len(right) > 0.85 * held.count() and len(got) < 1.15 * held.count()
@@ -350,3 +350,34 @@ def test_subjects_of_held_out_documents(spark):
     assert subjects.subject_counts(edge, model).count() == 0
     none = subjects.labelled(t["documents"].limit(0), t["subject_labels"].limit(0), wiki.limit(0), t["bills"].limit(0), areas)
     assert subjects.subject_counts(held, subjects.train(none, areas)).count() == 0
+
+
+def test_sentences_of_any_script_and_length():
+    found = subjects.sentences("法院判决了合同纠纷。原告上诉！\nภาษาไทยไม่มีช่องว่าง\nCourts ruled. Yes.\nA heading\n<a " + "x" * 500 + ">four words are here")
+    assert found[0][:3] == ["法院", "院判", "判决"] and found[1] == ["原告", "告上", "上诉"]
+    assert found[-2:] == [["courts", "ruled"], ["four", "words", "are", "here"]] and len(found) >= 4
+    assert len(subjects.features("ab" * 500)) == 1 + sum(1002 - n + 1 for n in subjects.SUBWORDS)
+
+
+def test_subjects_in_a_script_without_spaces(spark):
+    rng = np.random.default_rng(1)
+    own = {"law": "法院判决合同原告上诉律师", "sport": "球队比赛进球冠军教练联赛"}
+    text = lambda a: "".join("".join(rng.choice(list(own[a]), 9)) + "。" for _ in range(6))
+    rows = spark.createDataFrame([(text(a), a) for a in own for _ in range(60)], "text string, subject string")
+    model = subjects.train(rows, sorted(own))
+    held = spark.createDataFrame([(i, text(a), a) for i, a in enumerate(["law", "sport"] * 20)], "doc_id bigint, text string, truth string")
+    got = subjects.subject_counts(held, model).where("treated * 3 >= n_sentences").join(held.select("doc_id", "truth"), "doc_id").collect()
+    assert len(got) == 40 and all(r.subject == r.truth for r in got)
+    again = subjects.train(rows.repartition(7), sorted(own))
+    assert np.abs(again.vectors - model.vectors).max() < 1e-2
+
+
+def test_labelled_rows_keep_to_the_bound(spark):
+    docs = frame(spark, [(i, f"text {i}") for i in range(300)], "doc_id bigint, text string")
+    hand = frame(spark, [(i, "Law ") for i in range(200)] + [(5, "sport"), (6, None)], "doc_id bigint, subject string")
+    wiki = frame(spark, [(i, f"wiki {i}", "sport") for i in range(400)] + [(None, "x", "law")], "doc_id bigint, text string, supercategory string")
+    bills = frame(spark, [(i, f"bill {i}", "law") for i in range(100)], "doc_id bigint, summary string, topic string")
+    for bound, hands in ((100, 0), (250, 199), (10_000, 199)):
+        got = [r.text for r in subjects.labelled(docs, hand, wiki, bills, ["law", "sport"], bound).collect()]
+        assert len(got) == len(set(got)) <= bound and len(got) >= min(0.9 * bound, 699)
+        assert hands == 0 or sum(t.startswith("text") for t in got) == hands
