@@ -325,8 +325,8 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     apart = math.sqrt(max(0.0, 2 - 2 * same)) + 1e-9
     rows = stored(rows)
     firsts = rows.groupBy("same").agg(F.min("doc_id").alias("root"))
-    equal = rows.select("doc_id", "same").join(firsts, "same").where("doc_id <> root").select("doc_id", "root")
-    units = stored(rows.join(firsts.select(F.col("root").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "v"))
+    equal = stored(rows.select("doc_id", "same").join(firsts, "same").where("doc_id <> root").select("doc_id", "root"))
+    units = stored(rows.join(equal, "doc_id", "left_anti").select("doc_id", "v"))
     n = units.count()
     if n < 2:
         return connected_components(equal)
@@ -342,7 +342,8 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
         crowded = cells.join(large, "cell", "left_semi").select("cell", "doc_id").join(units, "doc_id").select("cell", "doc_id", "v")
         found = found.unionByName(_in_crowded(stored(crowded), same, apart))
     sets = small.select("cell", "doc_id", "z").repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_group(_near(apart)), "of bigint, doc_id bigint, root bigint")
-    sets = sets.select(F.xxhash64("of", "root").alias("set"), "doc_id").join(units, "doc_id").select("set", "doc_id", "v")
+    # stored, so that its size is known to the join: where it is small, no vector is shuffled
+    sets = stored(sets.select(F.xxhash64("of", "root").alias("set"), "doc_id")).join(units, "doc_id").select("set", "doc_id", "v")
     exact = _by_group(lambda ids, x: _linked(ids, x, same))
     links = sets.repartition("set").sortWithinPartitions("set").mapInArrow(exact, "of bigint, doc_id bigint, root bigint").select("doc_id", "root")
     return connected_components(found.unionByName(links))
