@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The public English stop words that corpora of this kind are cleaned with.
+ENGLISH_STOP = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself
+she she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll
+these those am is are was were be been being have has had having do does did doing a an the and but if or because as
+until while of at by for with about against between into through during before after above below to from up down in
+out on off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y
+ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn
+mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+""".split()
+
+
 def truncate(text: Column, most: int) -> Column:
     """The first ``most`` words (between single spaces) and `` ...`` where there are more; ``most`` of 0 or less keeps all."""
     if most <= 0:
@@ -19,8 +32,8 @@ def words_lower(text: Column) -> Column:
     return F.split(F.lower(text), " ")
 
 
-def without(words: Column, stop: list[str]) -> Column:
-    """``words`` without the stop words (case matters), in order and with repetitions."""
+def without(words: Column, stop: list[str] = ENGLISH_STOP) -> Column:
+    """``words`` without those of the list ``stop`` (case matters), in order and with repetitions; English ones by default."""
     return F.filter(words, lambda w: ~w.isin(stop))
 
 

@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _window_counts(words: list[str], window: int):
+    """A map over token lists: how many windows there are (a and b null), hold word a (b equal) and both a and b (a before b)."""
+    listed, size = pa.array(words, pa.string()), np.int64(len(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            n = np.diff(lists.offsets.to_numpy()).astype("int64")
+            windows = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+            doc = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            word = pc.fill_null(pc.index_in(lists.flatten(), value_set=listed), -1).to_numpy(zero_copy_only=False).astype("int64")
+            hit = np.flatnonzero(word >= 0)
+            doc, pos, word = doc[hit], pos[hit], word[hit]
+            first, last = np.maximum(pos - window + 1, 0), np.minimum(pos, np.maximum(n[doc] - window, 0))
+            spans = last - first + 1
+            start = np.repeat(first + (np.cumsum(windows) - windows)[doc], spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+            held = np.unique(start * size + np.repeat(word, spans))  # each word of each window once, in order
+            at, held = held // size, held % size
+            pairs, step = [held * size + held], 1
+            while step < len(at) and (same := at[step:] == at[:-step]).any():
+                pairs.append(held[:-step][same] * size + held[step:][same])
+                step += 1
+            pair, count = np.unique(np.concatenate(pairs), return_counts=True)
+            a, b, c = np.append(pair // max(size, 1), -1), np.append(pair % max(size, 1), -1), np.append(count, windows.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype("int64")), pa.array(b.astype("int64")), pa.array(c.astype("int64"))], names=["a", "b", "c"])
+
+    return run
+
+
 def npmi(docs: DataFrame, tokens: str, words: DataFrame, window: int = 10, eps: float = 1e-12) -> DataFrame:
     """(topic_id, npmi, pairs): mean NPMI over all ordered pairs of a topic's ``words`` (topic_id, word).
 
@@ -13,22 +48,18 @@ def npmi(docs: DataFrame, tokens: str, words: DataFrame, window: int = 10, eps:
     window) that hold a word, or both. Words that no window holds are left out; pairs that never
     occur together count with ``eps``.
 
-    Only the positions of topic words are unfolded (the words are a bounded list and are
-    broadcast): a window is told by its number, so each document gives rows for these words only,
-    and the number of all windows comes from its length.
+    A document's windows are counted where it lies: each batch gives one row for every word and every pair
+    of words that its windows hold, and only these are shuffled. The topics' words are a
+    bounded list (as many as topics times words), which every task holds.
     """
-    listed = F.broadcast(words.select("word").distinct())
-    n = F.size(tokens)
-    docs = docs.where(n > 0)
-    total = docs.agg(F.sum(F.greatest(n - window, F.lit(0)).cast("bigint") + 1)).head()[0] or 1
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc"), n.alias("n"), tokens)
-    hits = numbered.select("doc", "n", F.posexplode(tokens).alias("pos", "word")).join(listed, "word")
-    first, last = F.greatest(F.col("pos") - window + 1, F.lit(0)), F.least(F.col("pos"), F.greatest(F.col("n") - window, F.lit(0)))
-    spans = hits.select("doc", "word", F.explode(F.sequence(first, last)).alias("w"))
-    held = spans.groupBy("doc", "w").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    each = held.groupBy("words").agg(F.count(F.lit(1)).alias("c"))
-    one = each.select(F.explode("words").alias("word"), "c").groupBy("word").agg(F.sum("c").alias("c"))
-    two = each.select(F.explode("words").alias("a"), "words", "c").select("a", F.explode("words").alias("b"), "c").where("a <> b").groupBy("a", "b").agg(F.sum("c").alias("cab"))
+    listed = sorted({r["word"] for r in words.select("word").where("word is not null").distinct().collect()})
+    counts = docs.select(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).mapInArrow(_window_counts(listed, window), "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    found = {(r["a"], r["b"]): r["c"] for r in counts.collect()}  # at most a row for each pair of listed words
+    total = found.get((-1, -1), 0) or 1
+    rows = [(listed[a], listed[b], c) for (a, b), c in found.items() if a >= 0]
+    known_counts = docs.sparkSession.createDataFrame([(x, y, c) for a, b, c in rows for x, y in {(a, b), (b, a)}], "a string, b string, c bigint")
+    one = known_counts.where("a = b").select(F.col("a").alias("word"), "c")
+    two = known_counts.where("a <> b").withColumnRenamed("c", "cab")
     pairs = words.select("topic_id", F.col("word").alias("a")).join(words.select("topic_id", F.col("word").alias("b")), "topic_id").where("a <> b")
     known = pairs.join(one.select(F.col("word").alias("a"), F.col("c").alias("ca")), "a").join(one.select(F.col("word").alias("b"), F.col("c").alias("cb")), "b")
     p = F.coalesce("cab", F.lit(0)) / F.lit(float(total)) + eps

@@ -51,9 +51,32 @@ def share_of_document(weights: DataFrame, least: float = 1e-6) -> DataFrame:
     return weights.join(sums, "doc_id").select("feature_id", "doc_id", (F.col("weight") / F.col("total")).alias("weight"))
 
 
-def sizes(membership: DataFrame) -> DataFrame:
-    """(feature_id, n) of every feature with members."""
-    return membership.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
+def sizes(membership: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """(feature_id, n) of every feature with members, or of all ``features``, 0 for those without."""
+    found = membership.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
+    if features is None:
+        return found
+    return features.select("feature_id").join(found, "feature_id", "left").select("feature_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def inverted_index(membership: DataFrame, features: DataFrame) -> DataFrame:
+    """(feature_id, doc_ids): the members of all ``features`` in ascending order, an empty list for one without.
+
+    An edge format: a list is one value, so it is for features whose members fit into a row.
+    """
+    lists = membership.groupBy("feature_id").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+    return features.select("feature_id").join(lists, "feature_id", "left").select("feature_id", F.coalesce("doc_ids", F.array().cast("array<bigint>")).alias("doc_ids"))
+
+
+def evaluated_features(membership: DataFrame, labels: DataFrame, above: int = 1000) -> DataFrame:
+    """(feature_id, n) of the features that have a label and more than ``above`` members."""
+    return sizes(membership).where(F.col("n") > above).join(labels.select("feature_id"), "feature_id", "left_semi")
+
+
+def excluded(docs: DataFrame, taken: DataFrame, cluster: int | None = None) -> DataFrame:
+    """Documents that have not been sampled yet, and only those outside of ``cluster`` (column feature_id) if that is given."""
+    rows = docs.join(taken.select("doc_id"), "doc_id", "left_anti")
+    return rows if cluster is None else rows.where(F.col("feature_id") != cluster)
 
 
 def large_features(membership: DataFrame, least: int) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetry.sources.tables import stored
+
 TINY = 1e-5
 
 
@@ -65,7 +67,7 @@ def purity(pairs: DataFrame) -> DataFrame:
     purity is the unweighted mean over predicted clusters of the share of their largest class;
     inverse purity the share of rows that lie in the largest cluster of their class.
     """
-    cells = pairs.where("pred is not null and truth is not null").groupBy("pred", "truth").agg(F.count(F.lit(1)).alias("n"))
+    cells = stored(pairs.where("pred is not null and truth is not null").groupBy("pred", "truth").agg(F.count(F.lit(1)).alias("n")))
     p = cells.groupBy("pred").agg((F.max("n") / F.sum("n")).alias("x")).agg(F.avg("x").alias("purity"))
     ip = cells.groupBy("truth").agg(F.max("n").alias("m"), F.sum("n").alias("s")).agg((F.sum("m") / F.sum("s")).alias("inverse_purity"))
     none = F.lit(None).cast("double")
@@ -100,3 +102,8 @@ def cost(usage: DataFrame, price_in: float, price_out: float, only_ok: bool = Fa
     rows = usage.where("ok") if only_ok else usage
     total_in, total_out = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens_in", "tokens_out"))
     return rows.agg(F.count(F.lit(1)).alias("calls"), total_in.alias("tokens_in"), total_out.alias("tokens_out"), (total_in * price_in + total_out * price_out).alias("cost"))
+
+
+def overall(scores: DataFrame) -> DataFrame:
+    """(recall, precision, f1): plain averages over features of the scores that :func:`label_scores` gives."""
+    return scores.agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "f1")])

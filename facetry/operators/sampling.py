@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from facetry.operators.ranking import grouped_rank
+from facetry.sources.tables import stored
 
 
 def draw_key(seed: int) -> Column:
@@ -67,19 +68,36 @@ def stratified_members(members: DataFrame, k: int, strata: int = 10, seed: int =
 def negatives(members: DataFrame, docs: DataFrame, features: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Documents that are no members of the feature, each as likely as any other: feature_id, ord, doc_id.
 
-    Documents come in one random order for all features. A feature with m members finds its k
-    among the first k + m of that order, so only so many are looked at for it, not every pair of
-    a feature and a document; the order itself is ranked without a single-task sort.
+    Documents come in one random order for all features, ranked without a single-task sort. A
+    feature looks at the first of that order, as many as will hold k others if its members are spread evenly, and only
+    if they don't at four times as many. So only the memberships of these few documents are counted, not all,
+    and a feature with nearly all documents unfolds its places in blocks over several tasks.
     """
     if k <= 0:
         return features.limit(0).select("feature_id", F.lit(0).alias("ord"), F.lit(0).cast("bigint").alias("doc_id"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id"))
-    order = grouped_rank(docs.select("doc_id", F.lit(0).alias("g"), key.alias("key")), "g", ["key", "doc_id"]).select("doc_id", F.col("place").alias("at"))
+    order = stored(grouped_rank(docs.select("doc_id", F.lit(0).alias("g"), key.alias("key")), "g", ["key", "doc_id"]).select("doc_id", F.col("place").alias("at")))
+    total = order.count()
     n = members.groupBy("feature_id").agg(F.count(F.lit(1)).alias("m"))
-    reach = features.select("feature_id").join(n, "feature_id", "left").select("feature_id", (F.coalesce("m", F.lit(0)) + k).alias("reach"))
-    places = reach.select("feature_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("reach") - 1)).alias("at"))
-    others = places.join(order, "at").join(members.select("feature_id", "doc_id"), ["feature_id", "doc_id"], "left_anti")
-    return _first(others, k, ["feature_id"], F.col("at")).select("feature_id", "ord", "doc_id")
+    others = F.greatest(F.lit(total) - F.coalesce("m", F.lit(0)), F.lit(1))
+    first = F.least(F.lit(total), F.ceil(F.lit(2.0 * k * total) / others) + 8).cast("bigint")
+    reach = stored(features.select("feature_id").join(n, "feature_id", "left").select("feature_id", first.alias("reach")))
+    while True:
+        most = reach.agg(F.max("reach")).head()[0] or 0
+        seen = members.select("feature_id", "doc_id").join(order.where(F.col("at") < most), "doc_id").join(reach, "feature_id").where("at < reach")
+        seen = stored(seen.select("feature_id", "at").distinct())
+        met = seen.groupBy("feature_id").agg(F.count(F.lit(1)).alias("c"))
+        short = reach.join(met, "feature_id", "left").select("feature_id", "reach", ((F.col("reach") - F.coalesce("c", F.lit(0)) < k) & (F.col("reach") < total)).alias("short"))
+        short = stored(short)
+        if short.where("short").isEmpty():
+            break
+        reach = stored(short.select("feature_id", F.when(F.col("short"), F.least(F.col("reach") * 4, F.lit(total))).otherwise(F.col("reach")).alias("reach")))
+    block = 1 << 16
+    blocks = reach.where("reach > 0").select("feature_id", "reach", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("reach") - 1) / block))).alias("b"))
+    last = F.least(F.col("reach"), (F.col("b") + 1) * block) - 1
+    places = blocks.repartition("feature_id", "b").select("feature_id", F.explode(F.sequence(F.col("b") * block, last)).alias("at"))
+    free = _first(places.join(seen, ["feature_id", "at"], "left_anti"), k, ["feature_id"], F.col("at"))
+    return free.join(order, "at").select("feature_id", "ord", "doc_id")
 
 
 def sample(method: str, weights: DataFrame, members: DataFrame, docs: DataFrame, features: DataFrame, pos_k: int, neg_k: int, strata: int = 10, seed: int = 42) -> DataFrame:

@@ -7,6 +7,8 @@ to fit into a task, however many members it has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,12 @@ def relevance(weight: Column, alpha: float) -> Column:
     return F.exp(weight / (2 * alpha))
 
 
+def _picked(state: DataFrame, score: Column) -> DataFrame:
+    """The rows of highest score of each feature, of equal ones the smaller doc_id; only numbers are aggregated."""
+    best = state.groupBy("feature_id").agg(F.max(F.struct(score.alias("s"), (-F.col("doc_id")).alias("i"))).alias("p"))
+    return state.join(stored(best.select("feature_id", (-F.col("p.i")).alias("doc_id"))), ["feature_id", "doc_id"])
+
+
 def greedy_dpp(rows: DataFrame, k: int, start: str = "compat") -> DataFrame:
     """(feature_id, ord, doc_id, weight, degenerate): greedy picks of a determinantal point process.
 
@@ -41,9 +49,8 @@ def greedy_dpp(rows: DataFrame, k: int, start: str = "compat") -> DataFrame:
     out = None
     for step in range(max(1, k)):
         score = F.col("weight") if step == 0 else F.when(F.col("bad"), F.lit(0.0)).otherwise(F.col("d"))
-        best = F.max(F.struct(score.alias("s"), (-F.col("doc_id")).alias("i"), "d", "v", "c", "weight", "bad"))
-        pick = state.groupBy("feature_id").agg(best.alias("p"))
-        pick = stored(pick.select("feature_id", (-F.col("p.i")).alias("id"), F.col("p.d").alias("pd"), F.col("p.v").alias("pv"), F.col("p.c").alias("pc"), F.col("p.weight").alias("pw"), F.col("p.bad").alias("pb")))
+        pick = _picked(state, score).select("feature_id", F.col("doc_id").alias("id"), F.col("d").alias("pd"), F.col("v").alias("pv"), F.col("c").alias("pc"), F.col("weight").alias("pw"), F.col("bad").alias("pb"))
+        pick = stored(pick)
         root = F.sqrt("pw" if start == "compat" else "pd") if step == 0 else F.sqrt("pd")
         bad = F.col("pb") | (F.lit(False) if step == 0 else (F.col("pd") <= 0) | F.isnan("pd"))
         one = pick.select("feature_id", F.lit(step).alias("ord"), F.col("id").alias("doc_id"), F.col("pw").alias("weight"), bad.alias("degenerate"))
@@ -84,8 +91,7 @@ def covering_picks(rows: DataFrame, k: int, alpha: float = 0.5, beta: float = 1.
     state = stored(state.select("feature_id", "doc_id", "v", (F.col("coverage") - beta * cross).alias("base"), F.lit(0.0).alias("red")))
     out = None
     for step in range(k):
-        best = F.max(F.struct((F.col("base") - alpha * F.col("red")).alias("s"), (-F.col("doc_id")).alias("i"), "v"))
-        pick = stored(state.groupBy("feature_id").agg(best.alias("p")).select("feature_id", (-F.col("p.i")).alias("id"), F.col("p.v").alias("pv")))
+        pick = stored(_picked(state, F.col("base") - alpha * F.col("red")).select("feature_id", F.col("doc_id").alias("id"), F.col("v").alias("pv")))
         one = pick.select("feature_id", F.lit(step).alias("ord"), F.col("id").alias("doc_id"))
         out = one if out is None else out.unionByName(one)
         if step + 1 < k:
@@ -95,39 +101,65 @@ def covering_picks(rows: DataFrame, k: int, alpha: float = 0.5, beta: float = 1.
     return out
 
 
-def _best_of_batch(sent, k: int):
-    def run(batches):
-        ids, q = sent.value
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of (doc_id, v) as one row of bytes."""
+    for b in batches:
+        x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64")
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (b.column(0).to_numpy().astype("int64"), x)], names=["ids", "x"])
+
+
+def _best_of_blocks(k: int):
+    """A map over pairs of blocks (qids, q, ids, x): the ``k`` nearest rows of the block for each query of the other."""
+
+    def read(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(ids, "int64")
+        return ids, np.frombuffer(x).reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-            own = batch.column(0).to_numpy()[order]
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype("float64")[order]
-            sims = q @ x.T
-            sims[ids[:, None] == own[None, :]] = -np.inf
-            top = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :k]  # of equal ones the smaller id
-            r, c = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
-            ok = np.isfinite(sims[r, c])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r[ok]]), pa.array(own[c[ok]]), pa.array(sims[r[ok], c[ok]])], names=["query_id", "doc_id", "cosine"])
+            for qids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns)):
+                (qids, q), (ids, x) = read(qids, q), read(ids, x)
+                order = np.argsort(ids, kind="stable")
+                own, x = ids[order], x[order]
+                sims = q @ x.T
+                sims[qids[:, None] == own[None, :]] = -np.inf
+                top = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :k]  # of equal ones the smaller id
+                r, c = np.repeat(np.arange(len(qids)), top.shape[1]), top.ravel()
+                ok = np.isfinite(sims[r, c])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[r[ok]]), pa.array(own[c[ok]]), pa.array(sims[r[ok], c[ok]])], names=["query_id", "doc_id", "cosine"])
 
     return run
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(query_id, place, doc_id, cosine): the ``k`` nearest of all ``rows`` for a stated set of queries, by brute force in blocks.
 
     ``queries`` and ``rows`` hold doc_id and v of length 1; a row isn't its own neighbour, and of
-    equal cosines (to 9 places) the smaller doc_id comes first. Blocks of at most about ``block``
-    queries go to all partitions of ``rows`` in turn; each batch gives its best k for each query,
-    which are then merged. No queries or no rows give an empty result.
+    equal cosines (to 9 places) the smaller doc_id comes first. No queries or no rows give an empty result.
+
+    Queries are packed into blocks of about ``block``, rows into blocks of one Arrow batch, each a row of
+    bytes; every block of rows meets every block of queries by a join on the queries' block number, and gives its best k
+    for each query, which are then merged. The driver sees only how many queries there are.
     """
     blocks = max(1, -(-queries.count() // block))
-    out = rows.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, cosine double")
-    for b in range(blocks):
-        part = queries.select("doc_id", "v").where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).toArrow()
-        if len(part):
-            ids = part["doc_id"].to_numpy()
-            q = part["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype("float64")
-            sent = rows.sparkSession.sparkContext.broadcast((ids, q))
-            out = out.unionByName(rows.select("doc_id", "v").mapInArrow(_best_of_batch(sent, k), out.schema))
+
+    def pack(table: pa.Table) -> pa.Table:
+        held = next(_packed(iter(table.select(["doc_id", "v"]).combine_chunks().to_batches(max_chunksize=len(table)))))
+        return pa.table({"block": table["block"][:1], "qids": held.column(0), "q": held.column(1)})
+
+    asked = queries.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "v").groupBy("block").applyInArrow(pack, "block bigint, qids binary, q binary")
+    held = rows.select("doc_id", "v").mapInArrow(_packed, "ids binary, x binary").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    met = held.join(asked, "block").select("qids", "q", "ids", "x")
+    out = met.mapInArrow(_best_of_blocks(k), "query_id bigint, doc_id bigint, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "doc_id")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "place", "doc_id", "cosine")
+
+
+def dpp_samples(members: DataFrame, vectors: DataFrame, k: int, alpha: float, start: str = "compat") -> DataFrame:
+    """(feature_id, polarity, ord, doc_id, weight): up to ``k`` diverse members of each feature, with exp(weight / (2 alpha)).
+
+    ``members`` hold feature_id, doc_id and weight, ``vectors`` doc_id and v; members without a vector
+    are left out. A feature with fewer members gives all, one without none; there are no negatives.
+    """
+    rows = members.select("feature_id", "doc_id", relevance(F.col("weight"), alpha).alias("weight")).join(vectors.select("doc_id", "v"), "doc_id")
+    return greedy_dpp(rows, k, start).select("feature_id", F.lit("pos").alias("polarity"), "ord", "doc_id", "weight")

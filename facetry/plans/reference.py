@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.feature import StopWordsRemover
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ from facetry.sources.tables import latest, stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-STOP = ["the", "of", "and", "a", "an", "in", "to", "by", "was", "were", "is", "that", "for", "with", "at", "from"]
 
 
 def query(sql: str | None = None):
@@ -48,8 +48,10 @@ def doc_topics(s: SparkSession, d: str) -> DataFrame:
     return ft.long_weights(table(s, d, "doc2topic_dist"), "doc_id", "p")
 
 
-def articles(s: SparkSession, d: str) -> DataFrame:
-    return latest(table(s, d, "wikitext"), ["doc_id"], ["text", "tokenized_text", "supercategory"])
+def articles(s: SparkSession, d: str, *columns: str, only: DataFrame | None = None) -> DataFrame:
+    """The latest ``columns`` of each article, or of those in ``only`` (doc_id), which others are left out by before their texts move."""
+    rows = table(s, d, "wikitext")
+    return latest(rows if only is None else rows.join(only, "doc_id", "left_semi"), ["doc_id"], list(columns))
 
 
 def vectors(s: SparkSession, d: str) -> DataFrame:
@@ -110,9 +112,34 @@ def membership_argmax_doc2topic(s, d):
     return ft.strongest_feature(doc_topics(s, d))
 
 
-@query(f"with {C_SAE} select feature_id, count(*) as n from sae group by 1")
+def sae_features(s, d) -> DataFrame:
+    """(feature_id) of every feature of theta, whether it has members or not."""
+    width = table(s, d, "theta").agg(F.max(F.size("theta"))).head()[0] or 0
+    return s.range(width).select(F.col("id").cast("int").alias("feature_id"))
+
+
+C_WIDE = "feats as (select unnest(range((select max(len(theta)) from theta)))::int as feature_id)"
+
+
+@query(f"with {C_SAE}, {C_WIDE} select feature_id, count(doc_id) as n from feats left join sae using (feature_id) group by 1 order by n desc, feature_id")
 def feature_sizes(s, d):
-    return ft.sizes(sae_members(s, d))
+    """Every feature by size, those without members too."""
+    return ft.sizes(sae_members(s, d), sae_features(s, d)).orderBy(F.col("n").desc(), "feature_id")
+
+
+@query(f"with {C_SAE} select count(*) as n from (select feature_id from sae group by 1 having count(*) > 60)")
+def large_feature_count(s, d):
+    return ft.large_features(sae_members(s, d), 61).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {C_TD}, n as (select feature_id, doc_id, weight / sum(weight) over (partition by feature_id) as w from td), best as (select doc_id, first(feature_id order by w desc, feature_id) as feature_id from n group by 1), "
+       "f as (select unnest(range((select max(topic_id) + 1 from topic2doc_dist)))::int as feature_id) select feature_id, coalesce(string_agg(doc_id::varchar, ' ' order by doc_id), '') as doc_ids from f left join best using (feature_id) group by 1")
+def inverted_index(s, d):
+    """The members of every topic, an empty list for one without."""
+    most = table(s, d, "topic2doc_dist").agg(F.max("topic_id")).head()[0]
+    feats = s.range((-1 if most is None else most) + 1).select(F.col("id").cast("int").alias("feature_id"))
+    lists = ft.inverted_index(ft.strongest_feature(ft.share_of_feature(topic_weights(s, d))), feats)
+    return lists.withColumn("doc_ids", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), " "))
 
 
 @query(f"with {C_SAE} select feature_id, doc_id, weight from sae where feature_id in (select feature_id from sae group by 1 having count(*) >= 30)")
@@ -180,40 +207,28 @@ def truncate_text(s, d):
     return table(s, d, "documents").select("doc_id", tx.truncate(F.col("text"), 64).alias("text"))
 
 
-@query("select doc_id, len(string_split(lower(text), ' '))::int as n, md5(array_to_string(string_split(lower(text), ' '), '|')) as words from documents where text is not null and regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("select doc_id, len(string_split(lower(text), ' '))::int as n, md5(array_to_string(string_split(lower(text), ' '), '|')) as words from documents where text is not null")
 def tokenize_lower(s, d):
-    rows = table(s, d, "documents").where("text is not null").where(F.col("text").rlike(r"^[\x00-\x7f]*\z"))
-    w = tx.words_lower(F.col("text"))
-    return rows.select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(w, "|")).alias("words"))
-
-
-@query()
-def tokenize_lower_all(s, d):
-    """As tokenize_lower, over every text; without SQL, as DuckDB lower-cases some letters beyond ASCII differently."""
     w = tx.words_lower(F.col("text"))
     return table(s, d, "documents").where("text is not null").select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(w, "|")).alias("words"))
 
 
 @query(f"with {C_ART} select distinct unnest(string_split(tokenized_text, ' ')) as word from art where tokenized_text is not null")
 def vocabulary(s, d):
-    return articles(s, d).where("tokenized_text is not null").select(F.explode(F.split("tokenized_text", " ")).alias("word")).distinct()
+    return articles(s, d, "tokenized_text").where("tokenized_text is not null").select(F.explode(F.split("tokenized_text", " ")).alias("word")).distinct()
 
 
-@query(f"with {C_ART} select doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: not list_contains({STOP!r}, w)), ' ') as text from art where text is not null")
-def remove_stopwords(s, d):
-    return articles(s, d).where("text is not null").select("doc_id", F.array_join(tx.without(F.split("text", " "), STOP), " ").alias("text"))
+C_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.ENGLISH_STOP) + "]"
 
 
-@query()
-def remove_stopwords_english(s, d):
-    """As remove_stopwords, with a full English list; case matters."""
-    stop = StopWordsRemover.loadDefaultStopWords("english")
-    return articles(s, d).where("text is not null").select("doc_id", F.array_join(tx.without(F.split("text", " "), stop), " ").alias("text"))
+@query(f"with {C_ART} select doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: not list_contains({C_STOP}, w)), ' ') as text from art where text is not null")
+def remove_stopwords(s, d):
+    return articles(s, d, "text").where("text is not null").select("doc_id", F.array_join(tx.without(F.split("text", " ")), " ").alias("text"))
 
 
 @query(rf"with {C_ART} select doc_id, regexp_replace(string_split(text, '= =')[1], '^\s+|\s+$', '', 'g') as abstract from art where text is not null")
 def extract_abstract(s, d):
-    return articles(s, d).where("text is not null").select("doc_id", tx.abstract(F.col("text")).alias("abstract"))
+    return articles(s, d, "text").where("text is not null").select("doc_id", tx.abstract(F.col("text")).alias("abstract"))
 
 
 def _chunk_sql(size: int, overlap: int) -> str:
@@ -388,21 +403,17 @@ def dpp_select_exact(s, d):
     return _dpp(s, d, "exact")
 
 
-# --- metrics ----------------------------------------------------------------------------------
+C_MVEC = f"{C_SAE}, vec as (select feature_id, doc_id, embedding::double[] as v, weight from sae join embeddings on vec_id = doc_id)"
 
 
-@query(f"""with {C_ART}, d as (select doc_id, string_split(lower(tokenized_text), ' ') as t from art where tokenized_text is not null),
- w as (select topic_id, lower(word) as word from (select topic_id, word_id, row_number() over (partition by topic_id order by p desc, word_id) as k from (select topic_id, unnest(range(len(p))) as word_id, unnest(p) as p from topic2word_dist) where p is not null) join vocab using (word_id) where k <= 10),
- win as (select doc_id, unnest(range(greatest(len(t) - 10, 0) + 1)) as s, t from d), total as (select count(*) as n from win),
- hit as (select distinct doc_id, s, word from (select doc_id, s, unnest(list_distinct(t[s + 1 : s + 10])) as word from win) where word in (select word from w)),
- one as (select word, count(*) as c from hit group by 1), two as (select a.word as a, b.word as b, count(*) as c from hit a join hit b using (doc_id, s) where a.word <> b.word group by all),
- pairs as (select x.topic_id, x.word as a, y.word as b, coalesce(two.c, 0) / n + 1e-12 as p, oa.c / n as pa, ob.c / n as pb from w x join w y on x.topic_id = y.topic_id and x.word <> y.word
-  join one oa on oa.word = x.word join one ob on ob.word = y.word left join two on two.a = x.word and two.b = y.word, total)
- select topic_id, round(avg(ln(p / (pa * pb)) / -ln(p)), 6) as npmi, count(*) as pairs from pairs group by 1""")
-def npmi_coherence(s, d):
-    words = ft.top_words(table(s, d, "topic2word_dist"), table(s, d, "vocab")).select("topic_id", F.lower("word").alias("word"))
-    docs = articles(s, d).where("tokenized_text is not null").select(tx.words_lower(F.col("tokenized_text")).alias("t"))
-    return coherence.npmi(docs, "t", words).withColumn("npmi", r("npmi"))
+@query(_dpp_sql(3, "compat").replace(C_VEC, C_MVEC).replace("false as degenerate", "'pos' as polarity"))
+def dpp_members(s, d):
+    """Diverse members of every feature by their embeddings."""
+    found = selection.dpp_samples(sae_members(s, d), vectors(s, d), 3, 0.1)
+    return found.withColumn("weight", r("weight"))
+
+
+# --- metrics ----------------------------------------------------------------------------------
 
 
 @query(f"""with {C_ART}, d as (select doc_id, string_split(lower(text), ' ') as t from art where text is not null),
@@ -413,10 +424,10 @@ def npmi_coherence(s, d):
  pairs as (select x.topic_id, x.word as a, y.word as b, coalesce(two.c, 0) / n + 1e-12 as p, oa.c / n as pa, ob.c / n as pb from w x join w y on x.topic_id = y.topic_id and x.word <> y.word
   join one oa on oa.word = x.word join one ob on ob.word = y.word left join two on two.a = x.word and two.b = y.word, total)
  select topic_id, round(avg(ln(p / (pa * pb)) / -ln(p)), 6) as npmi, count(*) as pairs from pairs group by 1""")
-def npmi_coherence_text(s, d):
-    """As npmi_coherence, over the articles' raw texts as in the reference."""
+def npmi_coherence(s, d):
+    """Over the articles' raw texts."""
     words = ft.top_words(table(s, d, "topic2word_dist"), table(s, d, "vocab")).select("topic_id", F.lower("word").alias("word"))
-    docs = articles(s, d).where("text is not null").select(tx.words_lower(F.col("text")).alias("t"))
+    docs = articles(s, d, "text").where("text is not null").select(tx.words_lower(F.col("text")).alias("t"))
     return coherence.npmi(docs, "t", words).withColumn("npmi", r("npmi"))
 
 
@@ -425,7 +436,7 @@ def npmi_coherence_text(s, d):
  select round(purity, 9) as purity, round(ip, 9) as inverse_purity, round(2 / (1 / purity + 1 / ip), 9) as harmonic from p, i""")
 def purity(s, d):
     pred = ft.strongest_feature(doc_topics(s, d)).select("doc_id", F.col("feature_id").alias("pred"))
-    found = metrics.purity(pred.join(articles(s, d).select("doc_id", F.col("supercategory").alias("truth")), "doc_id"))
+    found = metrics.purity(pred.join(articles(s, d, "supercategory").select("doc_id", F.col("supercategory").alias("truth")), "doc_id"))
     return found.select(*[r(c, 9).alias(c) for c in found.columns])
 
 
@@ -453,9 +464,9 @@ def report_method_table(s, d):
     return metrics.method_table(scores, ["method"])
 
 
-@query(f"with {C_VERD} select (ord // 2)::int as decile, round(avg(verdict), 6) as recall, count(*) as n from verd where polarity = 'pos' and ord // 2 < 10 group by 1")
+@query(f"with {C_VERD} select (ord // 10)::int as decile, round(avg(verdict), 6) as recall, count(*) as n from verd where polarity = 'pos' and ord // 10 < 10 group by 1")
 def recall_deciles(s, d):
-    return metrics.recall_by_decile(verdicts(s, d), 2).withColumn("recall", r("recall"))
+    return metrics.recall_by_decile(verdicts(s, d)).withColumn("recall", r("recall"))
 
 
 @query(f"with {C_VERD} select feature_id, round(avg((verdict = 1)::int), 6) as consistency from verd where polarity = 'pos' group by 1")
@@ -531,7 +542,7 @@ def sae_train(s, d):
 @query()
 def lda_topics(s, d):
     """Ten words of each of ten topics of the wikitext records."""
-    docs = articles(s, d).where("tokenized_text is not null").select("doc_id", F.split(F.lower("tokenized_text"), " ").alias("t"))
+    docs = articles(s, d, "tokenized_text").where("tokenized_text is not null").select("doc_id", F.split(F.lower("tokenized_text"), " ").alias("t"))
     found = topics.fit_topics(docs, "t", 10)
     arrays = found["topic_word"].groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "p"))).alias("c")).select("topic_id", F.transform("c", lambda x: x["p"]).alias("p"))
     return ft.top_words(arrays, found["vocab"]).select("topic_id", "place", "word")
@@ -547,10 +558,73 @@ def lda_topics(s, d):
 def prompt_build(s, d):
     m = sae_members(s, d)
     rows = sampling.stratified_members(m, 3, 3).withColumn("polarity", F.lit("pos"))
-    docs = articles(s, d).where("text is not null")
+    rows = stored(rows)  # three rows a feature
+    docs = articles(s, d, "text", only=rows.select("doc_id")).where("text is not null")
     return an.prompts(rows, docs, 20, ft.large_features(m, 30))
 
 
+def _label_model(prompt: str) -> str:
+    """A deterministic stand-in for a labelling model: JSON for two of three prompts, else words."""
+    h = hashlib.md5(prompt.encode()).hexdigest()
+    return json.dumps({"name": h[:6], "description": h[6:12]}) if int(h[12:14], 16) % 3 else "cannot say " + h[:4]
+
+
+def _judge_model(prompt: str) -> str:
+    """A deterministic stand-in for a judge: yes, no, or a reply that is no number."""
+    k = int(hashlib.md5(prompt.encode()).hexdigest()[:4], 16) % 10
+    return " 1\n" if k < 6 else "0" if k < 9 else "I cannot tell"
+
+
+def labels(s, d, least: int = 30) -> DataFrame:
+    """Labels of the features of at least ``least`` members, from three stratified members each."""
+    m = sae_members(s, d)
+    rows = stored(sampling.stratified_members(m, 3, 3).withColumn("polarity", F.lit("pos")))
+    docs = articles(s, d, "text", only=rows.select("doc_id")).where("text is not null")
+    return stored(an.annotate(rows, docs, m, _label_model, least=least, max_words=20))
+
+
+C_TRUNC = "case when len(string_split(text, ' ')) <= {n} then text else array_to_string(string_split(text, ' ')[1:{n}], ' ') || ' ...' end"
+C_LABEL = f"""{C_SAE}, {C_ART}, {C_STRATA.format(s=3, q=1)}, lp as (select feature_id, ord, doc_id, {C_TRUNC.format(n=20)} as t from strat join art using (doc_id)
+   where text is not null and feature_id in (select feature_id from sae group by 1 having count(*) >= 30)),
+ ln as (select *, row_number() over (partition by feature_id order by ord) as k from lp),
+ prompts as (select feature_id, string_agg(doc_id::varchar, ' ' order by ord) as pos_docs, '' as neg_docs, replace(replace('{{prompt}}', '<documents>', string_agg('Document ' || k || ': ' || t, chr(10) order by k)), '<others>', 'No documents') as prompt from ln group by 1),
+ replies as (select *, md5(prompt) as h from prompts),
+ labels as (select feature_id, pos_docs, neg_docs, case when ('0x' || h[13:14])::int % 3 <> 0 then h[1:6] end as name, case when ('0x' || h[13:14])::int % 3 <> 0 then h[7:12] end as description,
+   case when ('0x' || h[13:14])::int % 3 = 0 then 'cannot say ' || h[1:4] end as raw, case when ('0x' || h[13:14])::int % 3 = 0 then 'unparsed' else 'ok' end as status from replies)"""
+C_LABEL = C_LABEL.replace("{prompt}", an.TEMPLATES["simple"].format(documents="<documents>", others="<others>").replace("'", "''"))
+
+
+@query(f"with {C_LABEL} select * from labels")
+def label_loop(s, d):
+    """Gate, prompt, call, parse, further tries, and the raw reply where none could be read."""
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return labels(s, d).select("feature_id", ids("pos_docs"), ids("neg_docs"), "name", "description", "raw", "status")
+
+
+C_JUDGE = f"""{C_LABEL}, ev as (select *, row_number() over (partition by feature_id order by {C_KEY}, doc_id) - 1 as ord from sae),
+ jp as (select e.feature_id, e.ord, e.doc_id, replace(replace(replace('{{prompt}}', '<name>', name), '<description>', description), '<text>', {C_TRUNC.format(n=300)}) as prompt
+   from ev e join labels l using (feature_id) join art using (doc_id) where e.ord < 4 and status = 'ok' and text is not null and feature_id in (select feature_id from sae group by 1 having count(*) > 40)),
+ jv as (select *, ('0x' || substr(md5(prompt), 1, 4))::int % 10 as k from jp),
+ jr as (select feature_id, 'pos' as polarity, ord::int as ord, doc_id, case when k < 6 then 1 when k < 9 then 0 else -1 end as verdict from jv)"""
+C_JUDGE = C_JUDGE.replace("{prompt}", an.TEMPLATES["judge_single"].format(name="<name>", description="<description>", text="<text>").replace("'", "''"))
+
+
+@query(f"with {C_JUDGE} select * from jr")
+def judge_loop(s, d):
+    """One call for each labelled feature of enough members, polarity and document."""
+    m = sae_members(s, d)
+    rows = stored(sampling.random_members(m, 4).withColumn("polarity", F.lit("pos")))
+    docs = articles(s, d, "text", only=rows.select("doc_id")).where("text is not null")
+    return an.judge(rows, docs, labels(s, d), m, _judge_model, above=40)
+
+
+@query(f"with {C_JUDGE}, a as (select feature_id, sum(verdict) as p, count(*) as n from jr group by 1) select round(avg(p / n), 6) as recall, round(avg(p / (p + 1e-5)), 6) as precision from a")
+def judge_averages(s, d):
+    """Overall averages of the scores of :func:`judge_loop`."""
+    found = metrics.overall(metrics.label_scores(stored(judge_loop(s, d))))
+    return found.select(r("recall").alias("recall"), r("precision").alias("precision"))
+
+
 @query("select doc_id, coalesce(try_cast(regexp_extract(case when doc_id % 4 = 0 then ' 1 ' when doc_id % 4 = 1 then '0' when doc_id % 4 = 2 then '1.' end, '^\\s*([0-9]+)\\s*$', 1) as int), -1) as verdict from documents")
 def verdict_parse(s, d):
     reply = F.when(F.col("doc_id") % 4 == 0, " 1\n").when(F.col("doc_id") % 4 == 1, "0").when(F.col("doc_id") % 4 == 2, "1.")
@@ -567,5 +641,5 @@ def label_json_parse(s, d):
 
 @query(f"with {C_SAE}, {C_ART}, top as (select * from sae qualify row_number() over (partition by feature_id order by weight desc, doc_id desc) <= 5) select feature_id, (row_number() over (partition by feature_id order by weight, doc_id) - 1)::int as ord, doc_id, weight, case when len(string_split(text, ' ')) <= 30 then text else array_to_string(string_split(text, ' ')[1:30], ' ') || ' ...' end as snippet from top left join art using (doc_id)")
 def flagship(s, d):
-    top = sampling.top_k(sae_members(s, d), 5)
-    return top.join(articles(s, d).select("doc_id", tx.truncate(F.col("text"), 30).alias("snippet")), "doc_id", "left").select("feature_id", "ord", "doc_id", "weight", "snippet")
+    top = stored(sampling.top_k(sae_members(s, d), 5))  # five rows a feature
+    return top.join(articles(s, d, "text", only=top.select("doc_id")).select("doc_id", tx.truncate(F.col("text"), 30).alias("snippet")), "doc_id", "left").select("feature_id", "ord", "doc_id", "weight", "snippet")
