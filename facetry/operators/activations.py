@@ -55,6 +55,13 @@ def nested(tokens: DataFrame, chunk: list[str]) -> DataFrame:
     return per.groupBy(*chunk).agg(F.array_sort(F.collect_list(F.struct("feature_id", "feature_weight", "tokens"))).alias("theta_sparse"))
 
 
+def nested_labelled(tokens: DataFrame, chunk: list[str]) -> DataFrame:
+    """As :func:`nested`, with the feature_label that :func:`explain` added."""
+    cell = F.struct("place", "pos", "token_id", "act")
+    per = tokens.groupBy(*chunk, "feature_id", "feature_weight", "feature_label").agg(F.array_sort(F.collect_list(cell)).alias("tokens"))
+    return per.groupBy(*chunk).agg(F.array_sort(F.collect_list(F.struct("feature_id", "feature_weight", "tokens", "feature_label"))).alias("theta_sparse"))
+
+
 def with_documents(theta: DataFrame, sparse: DataFrame) -> DataFrame:
     """``theta`` with the concatenated theta_sparse of each document's chunks, an empty list where there are none."""
     lists = sparse.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "theta_sparse"))).alias("l"))

@@ -9,10 +9,29 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from facetry.operators.ranking import grouped_rank
+from facetry.sources.tables import stored
+
+
+def _top(pre: np.ndarray, k: int) -> np.ndarray:
+    """``pre`` with only the ``k`` highest of each row, of equal ones the first."""
+    keep = np.argsort(-pre, axis=1, kind="stable")[:, :k]
+    out = np.zeros_like(pre)
+    np.put_along_axis(out, keep, np.take_along_axis(pre, keep, 1), 1)
+    return out
+
+
+def _top_of_batch(pre: np.ndarray, k: int) -> np.ndarray:
+    """``pre`` with only the ``k`` times rows highest of the whole batch, of equal ones the first."""
+    flat, out = pre.ravel(), np.zeros(pre.size)
+    keep = np.argsort(-flat, kind="stable")[: k * len(pre)]
+    out[keep] = flat[keep]
+    return out.reshape(pre.shape)
+
 
 @dataclass
 class Autoencoder:
@@ -26,19 +45,32 @@ class Autoencoder:
     threshold: float | None = None
     history: list[dict] = field(default_factory=list)
 
+    def active(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum((x - self.offset) @ self.encoder.T + self.bias, 0)
+
     def encode(self, x: np.ndarray) -> np.ndarray:
-        pre = np.maximum((x - self.offset) @ self.encoder.T + self.bias, 0)
-        if self.threshold is not None:
-            return np.where(pre > self.threshold, pre, 0)
-        keep = np.argsort(-pre, axis=1, kind="stable")[:, : self.k]
-        out = np.zeros_like(pre)
-        np.put_along_axis(out, keep, np.take_along_axis(pre, keep, 1), 1)
-        return out
+        pre = self.active(x)
+        return np.where(pre > self.threshold, pre, 0) if self.threshold is not None else _top(pre, self.k)
 
     def decode(self, a: np.ndarray) -> np.ndarray:
         return a @ self.decoder.T + self.offset
 
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Writes the model as a small table to ``path``, a folder that the executors share."""
+        names = [*PARAMS, "k", "threshold"]
+        arrays = [np.asarray(np.nan if getattr(self, n) is None else getattr(self, n), "float64") for n in names]
+        rows = [(n, list(a.shape), bytearray(a.tobytes())) for n, a in zip(names, arrays)]
+        spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> Autoencoder:
+        """The model that :meth:`store` wrote."""
+        found = {r["name"]: np.frombuffer(bytes(r["data"])).reshape(r["shape"]).copy() for r in spark.read.parquet(path).collect()}
+        threshold = float(found["threshold"])
+        return cls(*(found[n] for n in PARAMS), int(found["k"]), None if np.isnan(threshold) else threshold)
+
     def save(self, path: str) -> None:
+        """Writes the model to a file of the driver."""
         np.savez(path, encoder=self.encoder, decoder=self.decoder, offset=self.offset, bias=self.bias, k=self.k, threshold=np.nan if self.threshold is None else self.threshold)
 
     @classmethod
@@ -66,6 +98,28 @@ def top_activations(pre: DataFrame, k: int) -> DataFrame:
     return pre.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("doc_id", "neuron", F.greatest("pre", F.lit(0.0)).alias("act"))
 
 
+def batch_activations(pre: DataFrame, k: int) -> DataFrame:
+    """(doc_id, neuron, act): the ``k`` times as many highest pre-activations of all rows as there are rows, as relu.
+
+    Of equal ones the first document, then the first neuron. Ranked in range partitions, not by one task.
+    """
+    rows = stored(pre.select(F.greatest("pre", F.lit(0.0)).alias("act"), (-F.col("doc_id")).alias("d"), (-F.col("neuron")).alias("n"), F.lit(0).alias("g")))
+    wanted = k * rows.select("d").distinct().count()
+    ranked = grouped_rank(rows, "g", ["act", "d", "n"])
+    return ranked.where(F.col("group_rows") - F.col("place") <= wanted).select((-F.col("d")).alias("doc_id"), (-F.col("n")).alias("neuron"), "act")
+
+
+def dead_share(idle: DataFrame, after: int) -> DataFrame:
+    """(dead): the share of neurons (column steps, since each last fired) silent for more than ``after`` steps."""
+    return idle.agg(F.avg((F.col("steps") > after).cast("double")).alias("dead"))
+
+
+def dense(codes: DataFrame, width: int) -> DataFrame:
+    """(doc_id, theta): sparse codes (doc_id, neuron, act) as arrays of ``width``, 0 elsewhere."""
+    cells = codes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("neuron", "act"))).alias("m"))
+    return cells.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("theta"))
+
+
 def above_threshold(pre: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, neuron, act): the pre-activations above ``threshold``, which is positive or 0."""
     return pre.where(F.col("pre") > threshold).select("doc_id", "neuron", F.col("pre").alias("act"))
@@ -113,30 +167,51 @@ def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x[~held], x[held]) if held.any() else (x, x)
 
 
-def _pass(state: _State, x: np.ndarray, rng: np.random.Generator, batch: int, rate: float, aux: float, cuts: list[int]) -> _State:
+@dataclass
+class _Terms:
+    """What a step's loss is made of."""
+
+    aux: float
+    aux_k: int
+    cuts: list[int]
+    multi: float
+    multi_k: int
+    by_batch: bool
+
+
+def _pass(state: _State, x: np.ndarray, rng: np.random.Generator, batch: int, rate: float, terms: _Terms) -> _State:
     """One pass of Adam over the rows of a part."""
     model, m, s, idle, t = replace(state.model), dict(state.m), dict(state.s), state.idle, state.t
     for at in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch))):
         y = x[at]
-        a = model.encode(y)
+        pre = model.active(y)
+        a = _top_of_batch(pre, model.k) if terms.by_batch else _top(pre, model.k)
+        if terms.by_batch and (a > 0).any():  # towards the smallest activation that the batch lets pass
+            model.threshold = 0.99 * (model.threshold or 0.0) + 0.01 * float(a[a > 0].min())
         scale = max(1e-12, ((y - y.mean(0)) ** 2).sum())
         g = {p: np.zeros_like(getattr(model, p)) for p in PARAMS}
         back = np.zeros_like(a)
-        for c in cuts:
-            e = 2 * (a[:, :c] @ model.decoder[:, :c].T + model.offset - y) / scale / len(cuts)
+        for c in terms.cuts:
+            e = 2 * (a[:, :c] @ model.decoder[:, :c].T + model.offset - y) / scale / len(terms.cuts)
             g["decoder"][:, :c] += e.T @ a[:, :c]
             g["offset"] += e.sum(0)
             back[:, :c] += e @ model.decoder[:, :c]
         idle = np.where((a > 0).any(0), 0, idle + len(at))
         dead = idle > len(x)
-        if aux and dead.any():
-            pre = np.maximum((y - model.offset) @ model.encoder[dead].T + model.bias[dead], 0)
-            e = 2 * aux * (pre @ model.decoder[:, dead].T - (y - model.decode(a))) / scale
-            g["decoder"][:, dead] += e.T @ pre
-            live = (e @ model.decoder[:, dead]) * (pre > 0)
+        back *= a > 0
+        if terms.aux and dead.any():
+            few, left = _top(pre[:, dead], terms.aux_k), y - model.decode(a)
+            e = 2 * terms.aux * (few @ model.decoder[:, dead].T - left) / max(1e-12, ((left - left.mean(0)) ** 2).sum())
+            g["decoder"][:, dead] += e.T @ few
+            live = (e @ model.decoder[:, dead]) * (few > 0)
             g["encoder"][dead] += live.T @ (y - model.offset)
             g["bias"][dead] += live.sum(0)
-        back *= a > 0
+        if terms.multi:
+            more = _top(pre, terms.multi_k)
+            e = 2 * terms.multi * (more @ model.decoder.T + model.offset - y) / scale
+            g["decoder"] += e.T @ more
+            g["offset"] += e.sum(0)
+            back += (e @ model.decoder) * (more > 0)
         g["encoder"] += back.T @ (y - model.offset)
         g["bias"] += back.sum(0)
         g["offset"] -= back.sum(0) @ model.encoder
@@ -158,11 +233,13 @@ def _averaged(states: list[_State], rows: list[int]) -> _State:
     mean = lambda xs: sum(k * x for k, x in zip(w, xs))
     model = replace(states[0].model, **{p: mean([getattr(s.model, p) for s in states]) for p in PARAMS})
     model.decoder = model.decoder / np.maximum(np.linalg.norm(model.decoder, axis=0), 1e-12)
+    if model.threshold is not None:
+        model.threshold = float(mean([s.model.threshold for s in states]))
     m, s = ({p: mean([getattr(x, k)[p] for x in states]) for p in PARAMS} for k in ("m", "s"))
     return _State(model, m, s, np.min([x.idle for x in states], 0), max(x.t for x in states))
 
 
-def train(rows: DataFrame, n_features: int, k: int, vector_col: str = "v", bound: int = 50_000, epochs: int = 30, batch: int = 512, rate: float = 5e-4, patience: int = 5, aux: float = 1 / 32, prefixes: tuple[float, ...] = (), seed: int = 42) -> Autoencoder:
+def train(rows: DataFrame, n_features: int, k: int, vector_col: str = "v", bound: int = 50_000, epochs: int = 30, batch: int = 512, rate: float = 5e-4, patience: int = 5, aux: float = 1 / 32, prefixes: tuple[float, ...] = (), seed: int = 42, aux_k: int | None = None, multi_k: int | None = None, multi: float = 0.0, batch_top: bool = False) -> Autoencoder:
     """An autoencoder fitted by Adam on all rows, in parts of about ``bound`` rows (by a hash of the vector).
 
     Each epoch is a pass over every part in a task of its own, after which the driver averages
@@ -171,7 +248,10 @@ def train(rows: DataFrame, n_features: int, k: int, vector_col: str = "v", bound
 
     Loss: squared error relative to the batch's spread, for each of the ``prefixes`` (shares of the
     neurons, nested) and all, plus ``aux`` times that of reconstructing the residual with neurons
-    that haven't fired for an epoch of their part. Decoder columns have length 1; gradients are clipped to norm 1;
+    that haven't fired for an epoch of their part (the ``aux_k`` strongest of a row, twice k by default), plus ``multi`` times
+    that of the ``multi_k`` strongest neurons (four times k by default). With ``batch_top`` a step keeps the k times
+    rows strongest activations of its batch instead of k of each row, and the model gets a threshold for its
+    codes, which follows the smallest activation kept. Decoder columns have length 1; gradients are clipped to norm 1;
     the offset starts at the lower median (the mean of the parts'). An eighth is held out, and training ends when
     its loss hasn't fallen for ``patience`` epochs. ``history`` has the losses of each epoch and the rows learnt from.
     """
@@ -204,14 +284,15 @@ def train(rows: DataFrame, n_features: int, k: int, vector_col: str = "v", bound
     offset = sum(n * v for n, v in begun) / sum(n for n, _ in begun)
     dec = rng.normal(size=(len(offset), n_features))
     dec /= np.linalg.norm(dec, axis=0)
-    model = Autoencoder(dec.T.copy(), dec, offset, np.zeros(n_features), k)
+    model = Autoencoder(dec.T.copy(), dec, offset, np.zeros(n_features), k, 0.0 if batch_top else None)
+    terms = _Terms(aux, aux_k or min(2 * k, n_features), cuts, multi, multi_k or min(4 * k, n_features), batch_top)
     m, s = ({p: np.zeros_like(getattr(model, p)) for p in PARAMS} for _ in range(2))
     state, history, best, waited = _State(model, m, s, np.zeros(n_features)), [], np.inf, 0
     for epoch in range(epochs + 1):  # each pass first has the losses of the epoch before
 
         def step(x: np.ndarray, part: int, state: _State = state, epoch: int = epoch) -> tuple:
             x, val = _split(x)
-            after = _pass(state, x, np.random.default_rng([seed, epoch, part]), batch, rate, aux, cuts) if epoch < epochs else None
+            after = _pass(state, x, np.random.default_rng([seed, epoch, part]), batch, rate, terms) if epoch < epochs else None
             return len(x), _error(state.model, x), _error(state.model, val), state.idle > len(x), after
 
         found = each(step)
@@ -227,3 +308,21 @@ def train(rows: DataFrame, n_features: int, k: int, vector_col: str = "v", bound
     if parts > 1:
         split.unpersist()
     return replace(state.model, history=history)
+
+
+def model_name(n_features: int, k: int, prefixes: tuple[float, ...] = ()) -> str:
+    """The name a model is kept under: by its size, its k and, if nested, its prefixes."""
+    if prefixes:
+        return f"SAE_matryoshka_M={n_features}_K={k}_prefixes=" + "-".join(str(max(1, int(c * n_features))) for c in (*prefixes, 1.0))
+    return f"SAE_M={n_features}_K={k}"
+
+
+def train_or_load(rows: DataFrame, n_features: int, k: int, folder: str, prefixes: tuple[float, ...] = (), **options) -> Autoencoder:
+    """The model kept in ``folder`` under its name, or else a new one by :func:`train`, which is then kept there."""
+    spark, path = rows.sparkSession, f"{folder}/{model_name(n_features, k, prefixes)}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return Autoencoder.stored(spark, path)
+    model = train(rows, n_features, k, prefixes=prefixes, **options)
+    model.store(spark, path)
+    return model

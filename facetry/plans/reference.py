@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from facetry.operators import activations as ac
 from facetry.operators import annotate as an
 from facetry.operators import coherence, metrics, sae, sampling, selection, topics
 from facetry.operators import features as ft
-from facetry.sources.tables import latest, stored, table
+from facetry.sources import json_io
+from facetry.sources.tables import latest, shared_dir, stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -513,6 +515,19 @@ def sae_topk_activations(s, d):
     return sae.top_activations(pre_activations(s, d), 8).withColumn("act", r("act"))
 
 
+@query(f"with {C_PRE}, n as (select count(*) as n from embeddings) select doc_id, neuron, round(act, 6) as act from (select *, greatest(pre, 0) as act, row_number() over (order by greatest(pre, 0) desc, doc_id, neuron) as k from pre), n where k <= 8 * n")
+def sae_batch_topk_activations(s, d):
+    return sae.batch_activations(pre_activations(s, d), 8).withColumn("act", r("act"))
+
+
+@query(f"with {C_PRE}, few as (select *, row_number() over (partition by doc_id order by pre desc, neuron) as k from pre), a as (select doc_id, neuron, greatest(pre, 0) as act from few where k <= 4) "
+       "select doc_id, md5(string_agg(coalesce(round(act, 6), 0)::decimal(12, 6)::varchar, ' ' order by neuron)) as digest from (select doc_id, neuron::int as neuron from (select distinct doc_id from pre), (select unnest(range(32)) as neuron)) left join a using (doc_id, neuron) group by 1")
+def sae_dense_codes(s, d):
+    """The codes of each row scattered into an array."""
+    arrays = sae.dense(sae.top_activations(pre_activations(s, d), 4), 32)
+    return arrays.select("doc_id", F.md5(F.array_join(F.transform("theta", lambda x: F.round(x, 6).cast("decimal(12, 6)").cast("string")), " ")).alias("digest"))
+
+
 @query(f"with {C_PRE} select doc_id, neuron, round(pre, 6) as act from pre where pre > 0.5")
 def sae_threshold_activations(s, d):
     return sae.above_threshold(pre_activations(s, d), 0.5).withColumn("act", r("act"))
@@ -639,6 +654,51 @@ def label_json_parse(s, d):
     return table(s, d, "documents").where("title is not null").select("doc_id", an.label(reply).alias("l")).select("doc_id", "l.*")
 
 
+# --- files ------------------------------------------------------------------------------------
+
+
+def _file(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/facetry-{uuid.uuid4().hex}.json"
+
+
+@query(f"""with {C_TD}, top as (select * from td qualify row_number() over (partition by feature_id order by weight desc, doc_id desc) <= 10)
+ select feature_id, 'pos' as polarity, (row_number() over (partition by feature_id order by weight, doc_id) - 1)::int as ord, doc_id, weight from top""")
+def samples_file(s, d):
+    """Samples written to a file and read again."""
+    json_io.write_samples(sampling.top_k(topic_weights(s, d), 10).withColumn("polarity", F.lit("pos")), path := _file(s))
+    return json_io.read_samples(s, path)
+
+
+@query(f"with {C_LABEL} select * from labels")
+def labels_file(s, d):
+    json_io.write_labels(labels(s, d), path := _file(s))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return json_io.read_labels(s, path).select("feature_id", ids("pos_docs"), ids("neg_docs"), "name", "description", "raw", "status")
+
+
+@query(f"with {C_VERD} select feature_id, polarity, ord::int as ord, doc_id, verdict from verd where feature_id in (select feature_id from verd where polarity = 'pos')")
+def evaluation_file(s, d):
+    json_io.write_evaluation(an.evaluation(stored(verdicts(s, d))), path := _file(s))
+    return json_io.read_verdicts(s, path)
+
+
+@query("select vec_id as doc_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) as total, len(embedding)::int as n from embeddings")
+def embeddings_file(s, d):
+    json_io.write_embeddings(vectors(s, d), path := _file(s))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return json_io.read_embeddings(s, path).select("doc_id", F.round(total, 5).alias("total"), F.size("v").alias("n"))
+
+
+@query("select topic_id, word_id::int as word_id, p, word from (select topic_id, unnest(range(len(p))) as word_id, coalesce(unnest(p), 0) as p from topic2word_dist) join vocab using (word_id)")
+def topic_model_file(s, d):
+    """The topics' words written to a topic-model file and read again."""
+    cells = table(s, d, "topic2word_dist").select("topic_id", F.posexplode("p").alias("word_id", "p")).select("topic_id", "word_id", F.coalesce("p", F.lit(0.0)).alias("p"))
+    docs = doc_topics(s, d).select("doc_id", F.col("feature_id").alias("topic_id"), F.col("weight").alias("p"))
+    json_io.write_topic_model({"topic_word": cells, "doc_topic": docs, "topic_doc": docs, "vocab": table(s, d, "vocab")}, path := _file(s))
+    found = json_io.read_topic_model(s, path)
+    return found["topic_word"].join(found["vocab"], "word_id").select("topic_id", "word_id", "p", "word")
+
+
 @query(f"with {C_SAE}, {C_ART}, top as (select * from sae qualify row_number() over (partition by feature_id order by weight desc, doc_id desc) <= 5) select feature_id, (row_number() over (partition by feature_id order by weight, doc_id) - 1)::int as ord, doc_id, weight, case when len(string_split(text, ' ')) <= 30 then text else array_to_string(string_split(text, ' ')[1:30], ' ') || ' ...' end as snippet from top left join art using (doc_id)")
 def flagship(s, d):
     top = stored(sampling.top_k(sae_members(s, d), 5))  # five rows a feature
