@@ -15,6 +15,8 @@ from facetry.sources.tables import latest, stored
 
 #: Share of a record's own model in the mixture, most steps, and the change that ends them.
 OWN, STEPS, SETTLED = 0.2, 50, 1e-6
+#: Probabilities of an owner count as equal within this share: far more than rounding, so none that may be the highest is missed.
+EQUAL = 1e-9
 #: Terms whose background goes to every task at most, and share of the records that makes one heavy.
 MOST_HEAVY, HEAVY_SHARE = 2048, 0.01
 _CELLS = "doc_id bigint, term string, n bigint"
@@ -44,24 +46,44 @@ def parsimonious(n: np.ndarray, background: np.ndarray, starts: np.ndarray, own:
 
     ``starts`` marks where each owner's terms begin. Expectation: the share of each occurrence
     that the owner's own model explains against the background; maximisation: these shares
-    normalised. Owners are independent; all of a batch take their steps together.
+    normalised. All owners of a batch take their steps together, each until its own probabilities
+    settle, so the result doesn't depend on how owners are batched.
+
+    Of two terms that an owner has equally often the one with the smaller background ends with the higher
+    probability: it begins with the same, and each step gives more to a smaller background and to a
+    higher probability.
     """
     sizes = np.diff(np.append(starts, len(n)))
-    total = np.repeat(np.add.reduceat(n, starts), sizes)
+    total = np.repeat(np.add.reduceat(n, starts), sizes) if len(starts) else n
     p = n / np.where(total > 0, total, 1)
+    rows, at, size = np.arange(len(n)), starts, sizes  # of the owners that haven't settled
     for _ in range(STEPS):
-        mine = own * p
-        e = n * mine / np.maximum((1 - own) * background + mine, 1e-300)
-        total = np.repeat(np.add.reduceat(e, starts), sizes)
-        new = e / np.where(total > 0, total, 1)
-        moved, p = np.abs(new - p).max(initial=0.0), new
-        if moved < SETTLED:
+        if not len(size):
             break
+        mine = own * p[rows]
+        e = n[rows] * mine / np.maximum((1 - own) * background[rows] + mine, 1e-300)
+        total = np.repeat(np.add.reduceat(e, at), size)
+        new = e / np.where(total > 0, total, 1)
+        moving = np.maximum.reduceat(np.abs(new - p[rows]), at) >= SETTLED
+        p[rows] = new
+        rows, size = rows[np.repeat(moving, size)], size[moving]
+        at = np.cumsum(size) - size
     return p
 
 
+def _likeliest(n: np.ndarray, p: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The rows of highest probability among those of an owner with the same ``n``."""
+    order = np.lexsort((n, owner))
+    new = np.flatnonzero(np.concatenate([[True], (owner[order][1:] != owner[order][:-1]) | (n[order][1:] != n[order][:-1])]))
+    most = np.repeat(np.maximum.reduceat(p[order], new), np.diff(np.append(new, len(order))))
+    return np.sort(order[p[order] >= most * (1 - EQUAL)])
+
+
 def _scored(best: bool, n_records: int):
-    """A map over owners with their terms: probability and exact score of each, or the best row of each owner."""
+    """A map over owners with their terms: probability and exact score of each, or the best row of each owner.
+
+    The best row is sought among the terms that the model finds likeliest of those with the same n.
+    """
     names = ["owner", "owner_id", "term", "n", "records", "probability", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,24 +98,26 @@ def _scored(best: bool, n_records: int):
             of = np.repeat(keep, sizes[keep])
             n, back, d, mean = (cells.field(f).to_numpy(zero_copy_only=False).astype("float64") for f in ("n", "background", "records", "mean"))
             p = parsimonious(n, back, starts)
+            rows = _likeliest(n, p, of) if best else np.arange(len(of))
             with np.errstate(divide="ignore", invalid="ignore"):
-                doc = n * np.log(n_records / d)
-                topic = np.where(n > 0, n * np.log(n / mean), 0.0)
-            score = np.round(np.where(np.isnan(mean), doc, topic), 9) + 0.0
+                doc = n[rows] * np.log(n_records / d[rows])
+                topic = np.where(n[rows] > 0, n[rows] * np.log(n[rows] / mean[rows]), 0.0)
+            score = np.round(np.where(np.isnan(mean[rows]), doc, topic), 9) + 0.0
             terms = cells.field("term")
-            rows = np.arange(len(of))
             if best:
-                top = np.repeat(np.maximum.reduceat(score, starts), sizes[keep])
+                begins = np.flatnonzero(np.concatenate([[True], of[rows][1:] != of[rows][:-1]]))
+                top = np.repeat(np.maximum.reduceat(score, begins), np.diff(np.append(begins, len(rows))))
                 tied = np.flatnonzero(score == top)
                 first: dict[int, tuple[str, int]] = {}
-                for i, t in zip(tied.tolist(), terms.take(pa.array(tied)).to_pylist()):
-                    k = int(of[i])
+                for i, t in zip(tied.tolist(), terms.take(pa.array(rows[tied])).to_pylist()):
+                    k = int(of[rows[i]])
                     if k not in first or t < first[k][0]:
                         first[k] = (t, i)
-                rows = np.array([i for _, i in first.values()], "int64")
+                kept = np.array([i for _, i in first.values()], "int64")
+                rows, score = rows[kept], score[kept]
             at = pa.array(rows)
             none = np.isnan(d[rows])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[rows])), b.column(1).take(pa.array(of[rows])), terms.take(at), pa.array(n[rows]), pa.array(np.where(none, 0, d[rows]).astype("int64"), mask=none), pa.array(p[rows]), pa.array(score[rows])], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[rows])), b.column(1).take(pa.array(of[rows])), terms.take(at), pa.array(n[rows]), pa.array(np.where(none, 0, d[rows]).astype("int64"), mask=none), pa.array(p[rows]), pa.array(score)], names=names)
 
     return run
 
@@ -109,19 +133,20 @@ def record_terms(wikitext: DataFrame, best: bool = False) -> DataFrame:
     that of the term in the record's parsimonious language model, near 0 where the collection
     explains the term as well. score is n · ln(N / records), N the records with terms, to 9
     decimals. ``best`` gives only the row of highest score of each record, of equal ones the
-    first term by code point; the model runs over all terms in either case. A record without
-    terms gives no row, an empty table an empty result.
+    first term by code point. A record without terms gives no row, an empty table an empty result.
 
-    Method: background counts of terms are pre-aggregated and merged by term. Those of heavy
-    terms (at most :data:`MOST_HEAVY`) are broadcast, those of all others joined by term, so no
+    Method: counts of records are pre-aggregated and merged by term; a term's share of them is its background.
+    Those of heavy terms (at most :data:`MOST_HEAVY`) are broadcast, those of all others joined by term, so no
     hot term meets a single task. Expectation-maximisation then runs record by record, over the
-    arrays of a whole batch at once.
+    arrays of a whole batch at once. ``best`` takes the terms of highest converged probability for every n: as the
+    background rises with the number of records, these are the ones of highest score with that n
+    (:func:`parsimonious`), so only they are scored and the best of them is the best of all.
     """
     cells = stored(term_cells(wikitext))
-    total = cells.agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs")).head()
-    n_records, mass = total["docs"], float(total["n"] or 1)
-    counts = stored(cells.groupBy("term").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("records")))
-    counts = counts.select("term", (F.col("all") / mass).alias("background"), "records")
+    total = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("doc_id").alias("docs")).head()
+    n_records, mass = total["docs"], float(total["cells"] or 1)
+    counts = stored(cells.groupBy("term").agg(F.count(F.lit(1)).alias("records")))
+    counts = counts.select("term", (F.col("records") / mass).alias("background"), "records")
     heavy = F.broadcast(counts.where(F.col("records") > HEAVY_SHARE * n_records).orderBy(F.col("records").desc(), "term").limit(MOST_HEAVY))
     light = counts.join(heavy.select("term"), "term", "left_anti")
     known = cells.join(heavy, "term").unionByName(cells.join(heavy.select("term"), "term", "left_anti").join(light, "term"))
@@ -135,7 +160,8 @@ def topic_terms(topic2word: DataFrame, vocab: DataFrame, best: bool = False) ->
 
     Words are read as terms; score is p · ln(p / mean of p over all topics) to 9 decimals, 0 where
     p is 0. Null elements count as 0, positions without a word in the vocabulary are left out.
-    The background of the parsimonious model is the mean over the topics.
+    The background of the parsimonious model is the mean over the topics. Words of a topic seldom have the
+    same p, so for ``best`` nearly all of them are scored.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,14 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("probability", F.round("probability", 4))
 
 
+def p6_mass(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the probabilities: those of every owner sum to 1."""
+    found = distinct.distinctive(table(spark, d, "wikitext"), table(spark, d, "topic2word_dist"), table(spark, d, "vocab"))
+    each = found.groupBy("owner", "owner_id").agg(F.count(F.lit(1)).alias("n"), F.sum("probability").alias("p"))
+    whole = F.count_if(F.abs(F.col("p") - 1) < 1e-6)
+    return each.groupBy("owner").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("terms"), whole.alias("whole"))
+
+
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     """The scores of all terms, which SQL can express."""
     found = distinct.distinctive(table(spark, d, "wikitext"), table(spark, d, "topic2word_dist"), table(spark, d, "vocab"))

@@ -86,6 +86,7 @@ cells as (
 select least(300, count(distinct doc_id)) as records, 0::bigint as doubles, count(distinct (kind, feature)) as features from cells where doc_id not in (select a from later)""",
     "p5_found": _ALIKE + _CLOSED.format(root="cluster_doc_id"),
     "p5_totals": "select count(distinct doc_id) as records, 0::bigint as wide, true as several from wikitext where doc_id is not null",
+    "p6_mass": _DISTINCT + "select owner, count(distinct owner_id) as owners, count(*) as terms, count(distinct owner_id) as whole from scores group by 1",
     "p6_scores": _DISTINCT + "select owner, owner_id, term, round(score, 9) + 0.0 as score from scores",
     "p6_found": _DISTINCT + "select owner, owner_id, term from scores qualify row_number() over (partition by owner, owner_id order by round(score, 9) desc, term) = 1",
     "p7_ranked": _TOP + "select kind, group_id, item_id, score, place from ranked where place <= n",

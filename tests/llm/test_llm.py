@@ -220,6 +220,22 @@ def test_parsimonious_models_favour_own_terms():
     assert p[0] < 0.05 < p[1] and p[:3].sum() == pytest.approx(1) and p[3] == pytest.approx(1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(data=st.lists(st.lists(st.tuples(st.integers(1, 4), st.integers(1, 400)), min_size=1, max_size=25), min_size=1, max_size=6))
+def test_likeliest_terms_hold_the_best_score(data):
+    n, d = (np.array([x[k] for o in data for x in o], "float64") for k in (0, 1))
+    sizes = np.array(list(map(len, data)))
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(data)), sizes)
+    p = distinct.parsimonious(n, d / 3000, starts)
+    kept, score = distinct._likeliest(n, p, owner), n * np.log(500 / d)
+    for k in range(len(data)):
+        mine = np.flatnonzero(owner == k)
+        best = set(mine[np.round(score[mine], 9) == np.round(score[mine].max(), 9)])
+        assert best & set(kept) and all(i in kept for i in best if n[i] == max(n[list(best)]))
+        one = distinct.parsimonious(n[mine], d[mine] / 3000, np.array([0]))
+        assert np.array_equal(one, p[mine])
+
+
 def test_scores_of_terms(spark):
     wiki = frame(spark, TEXTS, "doc_id bigint, tokenized_text string")
     latest = {i: unicodedata.normalize("NFC", t or "").lower().split() for i, t in TEXTS if i is not None}
