@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.sources.tables import stored
+from facetry.sources.tables import release, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,5 +38,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         sums = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tuple(sums) == before or not sums[0]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(sums)
-        state = stored(_small_star(_large_star(state).distinct()).distinct())
+        before, old = tuple(sums), state
+        state = stored(_small_star(_large_star(old).distinct()).distinct())
+        release(old)

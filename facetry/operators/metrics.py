@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.sources.tables import stored
+from facetry.sources.tables import one_row, stored
 
 TINY = 1e-5
 
@@ -70,9 +70,7 @@ def purity(pairs: DataFrame) -> DataFrame:
     cells = stored(pairs.where("pred is not null and truth is not null").groupBy("pred", "truth").agg(F.count(F.lit(1)).alias("n")))
     p = cells.groupBy("pred").agg((F.max("n") / F.sum("n")).alias("x")).agg(F.avg("x").alias("purity"))
     ip = cells.groupBy("truth").agg(F.max("n").alias("m"), F.sum("n").alias("s")).agg((F.sum("m") / F.sum("s")).alias("inverse_purity"))
-    none = F.lit(None).cast("double")
-    both = p.select("purity", none.alias("inverse_purity")).unionByName(ip.select(none.alias("purity"), "inverse_purity"))
-    both = both.agg(F.max("purity").alias("purity"), F.max("inverse_purity").alias("inverse_purity"))
+    both = one_row(p, ip)
     return both.select("purity", "inverse_purity", (2 / (1 / F.col("purity") + 1 / F.col("inverse_purity"))).alias("harmonic"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from facetry.sources.tables import stored
+from facetry.sources.tables import release, stored
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -60,7 +60,9 @@ def greedy_dpp(rows: DataFrame, k: int, start: str = "compat") -> DataFrame:
         left = state.join(pick, "feature_id").where("doc_id <> id")
         e = (dot("v", "pv") - dot("c", "pc")) / root
         left = left.withColumn("e", F.when(bad, F.lit(0.0)).otherwise(e)).withColumn("bad", bad)
+        old = state
         state = stored(left.select("feature_id", "doc_id", "weight", "v", (F.col("d") - F.col("e") * F.col("e")).alias("d"), F.concat("c", F.array("e")).alias("c"), "bad"))
+        release(old)
     return out
 
 
@@ -97,7 +99,8 @@ def covering_picks(rows: DataFrame, k: int, alpha: float = 0.5, beta: float = 1.
         if step + 1 < k:
             left = state.join(pick, "feature_id")
             left = left if repeat else left.where("doc_id <> id")
-            state = stored(left.select("feature_id", "doc_id", "v", "base", F.greatest("red", dot("v", "pv")).alias("red")))
+            old, state = state, stored(left.select("feature_id", "doc_id", "v", "base", F.greatest("red", dot("v", "pv")).alias("red")))
+            release(old)
     return out
 
 

@@ -15,7 +15,7 @@ from facetry.operators import annotate as an
 from facetry.operators import coherence, metrics, sae, sampling, selection, topics
 from facetry.operators import features as ft
 from facetry.sources import json_io
-from facetry.sources.tables import latest, shared_dir, stored, table
+from facetry.sources.tables import latest, one_row, shared_dir, stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -554,6 +554,26 @@ def sae_train(s, d):
     return codes.groupBy("neuron").agg(F.count(F.lit(1)).alias("n"), F.max("act").alias("highest"))
 
 
+@query("select count(*) as rows, true as sparse, true as falling from embeddings")
+def sae_totals(s, d):
+    """What must hold of a trained autoencoder: codes for all rows, at most k active, a loss that has fallen."""
+    model = sae.train(vectors(s, d), 96, 8, epochs=20, rate=3e-3)
+    most = sae.activations(vectors(s, d), model).agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(F.filter("theta", lambda x: x > 0))).alias("most"))
+    falling = model.history[-1]["val"] < model.history[0]["val"]
+    return most.select("rows", (F.col("most") <= 8).alias("sparse"), F.lit(falling).alias("falling"))
+
+
+@query("select count(distinct doc_id) as records, 0::bigint as uneven, 5 as topics from (select doc_id, arg_max_null(tokenized_text, loaded_at) as t from wikitext group by 1) where t is not null")
+def lda_totals(s, d):
+    """What must hold of a topic model: every record's topics and every topic's words and records sum to 1."""
+    docs = articles(s, d, "tokenized_text").where("tokenized_text is not null").select("doc_id", F.split(F.lower("tokenized_text"), " ").alias("t"))
+    found = topics.fit_topics(docs, "t", 5, max_iterations=10)
+    sums = [found[n].groupBy(k).agg(F.sum("p").alias("p")) for n, k in (("doc_topic", "doc_id"), ("topic_word", "topic_id"), ("topic_doc", "topic_id"))]
+    uneven = sums[0].select("p").unionByName(sums[1].select("p")).unionByName(sums[2].select("p")).agg(F.count_if(F.abs(F.col("p") - 1) > 1e-6).alias("uneven"))
+    counts = found["doc_topic"].agg(F.count_distinct("doc_id").alias("records"), F.count_distinct("topic_id").cast("int").alias("topics"))
+    return one_row(counts, uneven)
+
+
 @query()
 def lda_topics(s, d):
     """Ten words of each of ten topics of the wikitext records."""

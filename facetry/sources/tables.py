@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,15 +45,29 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/facetry-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Removes a table that :func:`stored` wrote and that nothing will read any more."""
+    path = getattr(df, "_stored_at", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def drop_stored(spark: SparkSession) -> int:
     """Removes every table written by :func:`stored`; returns how many."""
-    jvm, n = spark._jvm, 0
+    n = 0
     while _WRITTEN:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+        n += bool(_delete(spark, _WRITTEN.pop()))
     return n
 
 
@@ -76,3 +91,9 @@ def latest(df: DataFrame, keys: list[str], values: list[str], at: str = "loaded_
         .where("__rn = 1")
         .drop("__rn", "__at")
     )
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several frames of one row each, side by side."""
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return united.agg(*[F.max(c).alias(c) for c in united.columns])
