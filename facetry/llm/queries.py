@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from facetry.llm import clusters, distinct, encode, packing, pieces, subjects, terms, topn, varied
 from facetry.llm.sql import SQL
-from facetry.sources.tables import table
+from facetry.sources.tables import one_row, stored, table
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +41,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("piece = 0 and record_cut is not null").select("corpus", "doc_id", F.col("record_cut").alias("cut"))
 
 
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p2_pieces: every text with a character has pieces, none is too long, none shares too much with the one before or leaves a gap."""
+    rows = p2_pieces(spark, d).select("corpus", "doc_id", "piece", "start", F.length("piece_text").alias("n"))
+    before = Window.partitionBy("corpus", "doc_id").orderBy("piece")
+    shared = F.lag(F.col("start") + F.col("n")).over(before) - F.col("start")
+    rows = rows.withColumn("shared", F.coalesce(shared, F.lit(0)))
+    wrong = (F.col("n") > pieces.LIMIT) | (F.col("shared") > pieces.OVERLAP) | (F.col("shared") < 0)
+    return rows.groupBy("corpus").agg(F.count_distinct("doc_id").alias("texts"), F.count_if(wrong).alias("wrong"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     groups = varied.same_groups(varied.theta_rows(table(spark, d, "theta")))
     return groups.select(F.col("root").alias("group_doc_id"), F.col("node").alias("doc_id"))
@@ -58,7 +69,7 @@ def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
     )]
     active = weights[0].unionByName(weights[1]).join(picks.select("doc_id"), "doc_id").agg(F.count_distinct("kind", "feature").alias("features"))
     doubles = F.count(F.lit(1)) - F.count_distinct(F.coalesce("group_doc_id", "doc_id"))
-    return picks.agg(F.count(F.lit(1)).alias("records"), doubles.alias("doubles")).join(active)
+    return picks.agg(F.count(F.lit(1)).alias("records"), doubles.alias("doubles")).transform(one_row, active)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +145,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_packed(spark, d))
 
 
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p9_places: all documents are there, no container is too full, no place is used twice, no small document is split."""
+    rows = stored(_packed(spark, d))
+    full = packing.containers(rows).agg(F.count_if(F.col("filled") > packing.CAPACITY).alias("overfull"))
+    order = Window.partitionBy("container_id").orderBy("offset")
+    inside = rows.where("container_id is not null").withColumn("end", F.lag(F.col("offset") + F.col("size")).over(order))
+    clash = inside.agg(F.count_if(F.col("end") > F.col("offset")).alias("clashes"))
+    each = rows.groupBy("doc_id").agg(F.sum("size").alias("n"), F.max("n_pieces").alias("pieces"))
+    split = each.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY)).alias("split"))
+    return one_row(split, full, clash)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).where("n_pieces > 1 and piece = 0").select("doc_id")
 
@@ -150,6 +173,18 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents").count())
 
 
+def p10_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p10_found and p10_composition: the subjects are those of the list, and the shares follow from the rows."""
+    found = stored(_subjects(spark, d))
+    shares = subjects.composition(found, n := table(spark, d, "documents").count())
+    listed = table(spark, d, "subject_areas").select(F.lower(F.trim("subject")).alias("subject"))
+    total = shares.agg(F.sum("documents").alias("a"), F.round(F.sum(F.col("share")) * n).alias("b"))
+    rows = found.agg(F.count(F.lit(1)).alias("r"), F.count_distinct("doc_id", "subject").alias("pairs"))
+    other = found.join(listed, "subject", "left_anti").agg(F.count(F.lit(1)).alias("unlisted"))
+    agree = (F.col("a") == F.col("r")) & (F.abs(F.col("b") - F.col("r")) <= 1) & (F.col("pairs") == F.col("r"))
+    return one_row(total, rows, other).select("unlisted", agree.alias("agree"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
 

