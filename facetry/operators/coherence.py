@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.sources.tables import stored
+
 
 def _window_counts(words: list[str], window: int):
     """A map over token lists: how many windows there are (a and b null), hold word a (b equal) and both a and b (a before b)."""
@@ -53,15 +55,14 @@ def npmi(docs: DataFrame, tokens: str, words: DataFrame, window: int = 10, eps:
     bounded list (as many as topics times words), which every task holds.
     """
     listed = sorted({r["word"] for r in words.select("word").where("word is not null").distinct().collect()})
-    counts = docs.select(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).mapInArrow(_window_counts(listed, window), "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    found = {(r["a"], r["b"]): r["c"] for r in counts.collect()}  # at most a row for each pair of listed words
-    total = found.get((-1, -1), 0) or 1
-    rows = [(listed[a], listed[b], c) for (a, b), c in found.items() if a >= 0]
-    known_counts = docs.sparkSession.createDataFrame([(x, y, c) for a, b, c in rows for x, y in {(a, b), (b, a)}], "a string, b string, c bigint")
-    one = known_counts.where("a = b").select(F.col("a").alias("word"), "c")
-    two = known_counts.where("a <> b").withColumnRenamed("c", "cab")
-    pairs = words.select("topic_id", F.col("word").alias("a")).join(words.select("topic_id", F.col("word").alias("b")), "topic_id").where("a <> b")
-    known = pairs.join(one.select(F.col("word").alias("a"), F.col("c").alias("ca")), "a").join(one.select(F.col("word").alias("b"), F.col("c").alias("cb")), "b")
-    p = F.coalesce("cab", F.lit(0)) / F.lit(float(total)) + eps
-    score = F.ln(p / ((F.col("ca") / total) * (F.col("cb") / total))) / -F.ln(p)
-    return known.join(two, ["a", "b"], "left").groupBy("topic_id").agg(F.avg(score).alias("npmi"), F.count(F.lit(1)).alias("pairs"))
+    every = docs.select(F.coalesce(F.col(tokens), F.array().cast("array<string>")))
+    counts = stored(every.mapInArrow(_window_counts(listed, window), "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c")))
+    total = float((counts.where("a < 0").head() or {"c": 0})["c"] or 1)
+    numbered = words.join(words.sparkSession.createDataFrame(list(enumerate(listed)), "i bigint, word string"), "word")
+    one = counts.where("a = b").select(F.col("a").alias("i"), "c")
+    held = numbered.join(one, "i").select("topic_id", "i", "c")
+    pairs = held.select("topic_id", F.col("i").alias("x"), F.col("c").alias("cx")).join(held.select("topic_id", F.col("i").alias("y"), F.col("c").alias("cy")), "topic_id").where("x <> y")
+    both = pairs.join(counts.withColumnRenamed("c", "cxy"), (F.least("x", "y") == F.col("a")) & (F.greatest("x", "y") == F.col("b")), "left")
+    p = F.coalesce("cxy", F.lit(0)) / total + eps
+    score = F.ln(p / ((F.col("cx") / total) * (F.col("cy") / total))) / -F.ln(p)
+    return both.groupBy("topic_id").agg(F.avg(score).alias("npmi"), F.count(F.lit(1)).alias("pairs"))

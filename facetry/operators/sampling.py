@@ -77,7 +77,7 @@ def negatives(members: DataFrame, docs: DataFrame, features: DataFrame, k: int,
         return features.limit(0).select("feature_id", F.lit(0).alias("ord"), F.lit(0).cast("bigint").alias("doc_id"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id"))
     order = stored(grouped_rank(docs.select("doc_id", F.lit(0).alias("g"), key.alias("key")), "g", ["key", "doc_id"]).select("doc_id", F.col("place").alias("at")))
-    total = order.count()
+    total = docs.count()
     n = members.groupBy("feature_id").agg(F.count(F.lit(1)).alias("m"))
     others = F.greatest(F.lit(total) - F.coalesce("m", F.lit(0)), F.lit(1))
     first = F.least(F.lit(total), F.ceil(F.lit(2.0 * k * total) / others) + 8).cast("bigint")
@@ -88,7 +88,6 @@ def negatives(members: DataFrame, docs: DataFrame, features: DataFrame, k: int,
         seen = stored(seen.select("feature_id", "at").distinct())
         met = seen.groupBy("feature_id").agg(F.count(F.lit(1)).alias("c"))
         short = reach.join(met, "feature_id", "left").select("feature_id", "reach", ((F.col("reach") - F.coalesce("c", F.lit(0)) < k) & (F.col("reach") < total)).alias("short"))
-        short = stored(short)
         if short.where("short").isEmpty():
             break
         reach = stored(short.select("feature_id", F.when(F.col("short"), F.least(F.col("reach") * 4, F.lit(total))).otherwise(F.col("reach")).alias("reach")))

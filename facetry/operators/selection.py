@@ -31,7 +31,7 @@ def relevance(weight: Column, alpha: float) -> Column:
 def _picked(state: DataFrame, score: Column) -> DataFrame:
     """The rows of highest score of each feature, of equal ones the smaller doc_id; only numbers are aggregated."""
     best = state.groupBy("feature_id").agg(F.max(F.struct(score.alias("s"), (-F.col("doc_id")).alias("i"))).alias("p"))
-    return state.join(stored(best.select("feature_id", (-F.col("p.i")).alias("doc_id"))), ["feature_id", "doc_id"])
+    return state.join(best.select("feature_id", (-F.col("p.i")).alias("doc_id")), ["feature_id", "doc_id"])
 
 
 def greedy_dpp(rows: DataFrame, k: int, start: str = "compat") -> DataFrame:
