@@ -14,7 +14,7 @@ from facetry.operators.components import connected_components
 from facetry.sources.tables import latest, stored
 
 #: Rows of a slot that nominates, rows of a cell compared in one task, most cell coordinates, rows taken by one round.
-SLOT_ROWS, CELL_ROWS, MOST_COORDINATES, ROUND_ROWS = 4096, 4096, 24, 96
+SLOT_ROWS, CELL_ROWS, MOST_COORDINATES, ROUND_ROWS = 4096, 4096, 24, 160
 #: Cosine from which two records say the same, and width of a cell along a pivot direction.
 SAME, WIDTH = 0.999, 0.25
 #: Random directions of the sketch by which the rows of a cell are compared first, rows that a cell should have at
