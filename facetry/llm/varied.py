@@ -268,21 +268,34 @@ def _by_group(link):
 
 
 def _near(apart: float):
-    """Stars of the connected sets of rows at most ``apart`` from each other, a rounding error more allowed."""
-
-    def link(ids: np.ndarray, z: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        z, root = z.astype("float64"), np.arange(len(ids))
-        square = np.einsum("ij,ij->i", z, z)
-        for i in range(0, len(z), block):
-            close = square[i : i + block, None] + square[None, :] - 2 * z[i : i + block] @ z.T <= apart * apart + 1e-5
-            for a, b in zip(*np.nonzero(np.triu(close, i + 1))):
-                p, q = root[i + a], root[b]
-                if p != q:
-                    root[root == max(p, q)] = min(p, q)
-        least = np.full(len(ids), np.iinfo("int64").max)
-        np.minimum.at(least, root, ids)
-        kept = np.bincount(root, minlength=len(ids))[root] > 1
-        return ids[kept], least[root][kept]
+    """Stars of the connected sets of rows at most ``apart`` from each other, a rounding error more allowed.
+
+    Rows in the order of the coordinate that varies most are compared with those that follow within
+    ``apart`` along it; each takes the smallest label of its neighbours until none changes.
+    """
+
+    def link(ids: np.ndarray, z: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        axis = int(np.argmax(z.var(0)))
+        order = np.argsort(z[:, axis], kind="stable")
+        ids, z = ids[order], z[order]
+        label, first = np.argsort(np.argsort(ids, kind="stable"), kind="stable"), True
+        by_label = np.sort(ids)
+        while True:
+            along, square, before = z[:, axis], np.einsum("ij,ij->i", z, z), label.copy()
+            busy = np.zeros(len(z), bool)
+            for i in range(0, len(z), block):
+                j = min(i + block, len(z))
+                end = int(np.searchsorted(along, along[j - 1] + apart + 1e-5, side="right"))
+                close = square[i:j, None] + square[None, i:end] - 2 * z[i:j] @ z[i:end].T <= apart * apart + 1e-5
+                a, b = np.nonzero(close)
+                a, b = a[a != b] + i, b[a != b] + i
+                np.minimum.at(label, a, label[b])
+                np.minimum.at(label, b, label[a])
+                busy[a] = busy[b] = True
+            if first:
+                ids, z, label, before, first = ids[busy], z[busy], label[busy], before[busy], False
+            if np.array_equal(before, label):
+                return ids, by_label[label]
 
     return link
 
@@ -318,8 +331,8 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     along which the rows differ most; cells between cuts along them (:func:`_grid`) bring every pair near enough
     together (:func:`_in_cells`). Rows travel there as short sketches; the vectors are only
     joined to rows that have a neighbour by sketch in their cell, and an exact check among these links them.
-    A cell with more than :data:`CELL_ROWS` rows is first thinned around a leader, which a group of near copies
-    holding a third of all rows shrinks to a few, and what is left is compared in pairs of blocks.
+    A set of more than :data:`CELL_ROWS` such rows, or a cell of more than eight times as many, is first thinned
+    around a leader, which a group of near copies holding a third of all rows shrinks to a few, and what is left is compared in pairs of blocks.
     Cells give stars, not pairs, whose connected components are found without the driver.
     """
     apart = math.sqrt(max(0.0, 2 - 2 * same)) + 1e-9
@@ -333,20 +346,24 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     basis = directions(units, MOST_COORDINATES, n)
     chosen, first = _grid(units, basis, apart, n)
     cells = stored(_in_cells(units, basis[chosen], first, apart))
-    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).select("cell")
-    large = stored(large)
-    found = equal
-    small = cells
-    if not large.isEmpty():
-        small = cells.join(large, "cell", "left_anti")
-        crowded = cells.join(large, "cell", "left_semi").select("cell", "doc_id").join(units, "doc_id").select("cell", "doc_id", "v")
-        found = found.unionByName(_in_crowded(stored(crowded), same, apart))
+    large = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 8 * CELL_ROWS).select("cell"))
+    crowded = not large.isEmpty()
+    small = cells.join(large, "cell", "left_anti") if crowded else cells
     sets = small.select("cell", "doc_id", "z").repartition("cell").sortWithinPartitions("cell").mapInArrow(_by_group(_near(apart)), "of bigint, doc_id bigint, root bigint")
     # stored, so that its size is known to the join: where it is small, no vector is shuffled
-    sets = stored(sets.select(F.xxhash64("of", "root").alias("set"), "doc_id")).join(units, "doc_id").select("set", "doc_id", "v")
+    sets = stored(sets.select(F.xxhash64("of", "root").alias("cell"), "doc_id"))
+    many = stored(sets.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).select("cell"))
+    hot = None if many.isEmpty() else sets.join(many, "cell", "left_semi")
+    if crowded:
+        rows_of = cells.join(large, "cell", "left_semi").select("cell", "doc_id")
+        hot = rows_of if hot is None else hot.unionByName(rows_of)
+    links = equal
+    if hot is not None:
+        links = links.unionByName(_in_crowded(stored(hot.join(units, "doc_id").select("cell", "doc_id", "v")), same, apart))
+        sets = sets.join(many, "cell", "left_anti")
     exact = _by_group(lambda ids, x: _linked(ids, x, same))
-    links = sets.repartition("set").sortWithinPartitions("set").mapInArrow(exact, "of bigint, doc_id bigint, root bigint").select("doc_id", "root")
-    return connected_components(found.unionByName(links))
+    placed = sets.join(units, "doc_id").select("cell", "doc_id", "v").repartition("cell").sortWithinPartitions("cell")
+    return connected_components(links.unionByName(placed.mapInArrow(exact, "of bigint, doc_id bigint, root bigint").select("doc_id", "root")))
 
 
 def _in_crowded(cells: DataFrame, same: float, apart: float) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from facetry.llm import encode, packing, topn
+from facetry.llm import encode, packing, topn, varied
 from facetry.operators import skew
 
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(f"{encode.TOKENIZERS}/{encode.RANKS}"), reason="no vocabulary files")
@@ -61,3 +61,25 @@ def test_frequent_sizes_are_ranked_in_slices(spark, monkeypatch):
     for spans in taken.values():
         spans.sort()
         assert spans[-1][1] <= 10 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_neighbours_by_sketch_miss_none():
+    rng = np.random.default_rng(6)
+    for n, spread in ((1, 1.0), (40, 0.05), (700, 0.3), (900, 0.02)):
+        z = rng.normal(0, spread, (n, 4)).astype("float32")
+        z[n // 2 :] = z[: n - n // 2] + rng.normal(0, 0.02, (n - n // 2, 4))
+        ids = rng.permutation(10 * n)[:n].astype("int64")
+        node, root = varied._near(0.0447)(ids, z)
+        close = ((z[:, None].astype("float64") - z[None]) ** 2).sum(2) <= 0.0447**2
+        label = ids.copy()
+        for _ in range(n):
+            new = np.array([label[c].min() for c in close])
+            if np.array_equal(new, label):
+                break
+            label = new
+        got = dict(zip(node.tolist(), root.tolist()))
+        for i in np.flatnonzero(close.sum(1) > 1):
+            assert got[int(ids[i])] <= label[i]
+        for i in np.flatnonzero(close.sum(1) > 1):
+            for j in np.flatnonzero(close[i]):
+                assert got[int(ids[i])] == got[int(ids[j])]
