@@ -70,6 +70,15 @@ def dpp(spark: SparkSession, a: argparse.Namespace) -> None:
     json_io.write_samples(found, a.output_file, every)
 
 
+def sweep(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Diverse samples for every k and alpha, each to a file named by both."""
+    _, members, every = feature_tables(spark, a)
+    vectors = stored(json_io.read_embeddings(spark, a.saved_embeddings))
+    for k in map(int, a.ks):
+        for alpha in map(float, a.alphas):
+            json_io.write_samples(selection.dpp_samples(members, vectors, k, alpha), f"{a.output_dir}/pos{k}_neg0_dpp_alpha_{alpha:g}.json", every)
+
+
 def embed(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = extract.encoded(dataset(spark, a.dataset).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), plug_in(a.model), normalise=True)
     json_io.write_embeddings(rows.select("doc_id", "v"), a.output_file)
@@ -108,7 +117,7 @@ def report(spark: SparkSession, a: argparse.Namespace) -> None:
     metrics.recall_by_decile(json_io.read_verdicts(spark, a.evaluations[0])).orderBy("decile").show()
 
 
-COMMANDS = {"topic-model": topic_model, "sample": sample, "dpp": dpp, "embed": embed, "score": score, "label": label, "judge": judge, "report": report}
+COMMANDS = {"topic-model": topic_model, "sample": sample, "dpp": dpp, "sweep": sweep, "embed": embed, "score": score, "label": label, "judge": judge, "report": report}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -131,6 +140,7 @@ def parser() -> argparse.ArgumentParser:
     command("topic-model", False, task="train", dataset=str, num_topics=25, max_iterations=1000, output_file=str)
     command("sample", sample_method=str, pos_k=10, neg_k=0, num_strata=10, seed=42, output_file=str)
     command("dpp", saved_embeddings=str, alpha=0.1, k=10, output_file=str)
+    command("sweep", saved_embeddings=str, ks=[], alphas=[], output_dir=str)
     command("embed", False, dataset=str, model=str, output_file=str)
     command("score", saved_embeddings=str, alpha=0.5, beta=1.0, k=10, output_file=str)
     command("label", dataset=str, samples=str, model=str, max_text_length=256, min_feature_size=500, output_file=str)

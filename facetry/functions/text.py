@@ -19,6 +19,11 @@ mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't w
 """.split()
 
 
+def is_int(text: Column) -> Column:
+    """Whether a text is an integer, white space around it allowed; false for null."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "").try_cast("bigint").isNotNull()
+
+
 def truncate(text: Column, most: int) -> Column:
     """The first ``most`` words (between single spaces) and `` ...`` where there are more; ``most`` of 0 or less keeps all."""
     if most <= 0:

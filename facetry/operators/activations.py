@@ -5,6 +5,8 @@ Token activations hold chunk (one or more key columns), pos, token_id, feature_i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,3 +84,11 @@ def last_explanations(batches: DataFrame, default: str = "<no explanation>") ->
     """(feature_id, description) of bulk records (feature_id, description, batch, line): the last of an id holds, blank ones read as ``default``."""
     last = F.max_by(F.coalesce(F.when(F.trim("description") != "", F.col("description")), F.lit(default)), F.struct("batch", "line"))
     return batches.where("feature_id is not null").groupBy("feature_id").agg(last.alias("description"))
+
+
+def fetched_explanation(feature: int, cache: dict[int, str], fetch: Callable[[int], dict], missing: str = "<no explanation field found in JSON>") -> str:
+    """The first description of a feature's record, by a ``fetch`` plug-in, which is asked once for each feature."""
+    if feature not in cache:
+        found = [e.get("description") for e in fetch(feature).get("explanations") or []]
+        cache[feature] = next((d for d in found if d is not None), missing)
+    return cache[feature]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -161,10 +162,11 @@ def _relative(e: np.ndarray) -> float:
     return float(e[0] / max(1e-12, e[2] - (e[3:] ** 2).sum() / max(1, e[1])))
 
 
-def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows to learn from, and an eighth held out (all, where there are too few)."""
-    held = np.arange(len(x)) % 8 == 7
-    return (x[~held], x[held]) if held.any() else (x, x)
+def _split(x: np.ndarray, share: float = 0.12, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to learn from, and a seeded random ``share`` held out, both in order (all in both, where there is one row)."""
+    held = np.zeros(len(x), bool)
+    held[np.random.default_rng(seed).permutation(len(x))[: math.ceil(share * len(x))]] = True
+    return (x[~held], x[held]) if 0 < held.sum() < len(x) else (x, x)
 
 
 @dataclass
@@ -252,7 +254,7 @@ def train(rows: DataFrame, n_features: int, k: int, vector_col: str = "v", bound
     that of the ``multi_k`` strongest neurons (four times k by default). With ``batch_top`` a step keeps the k times
     rows strongest activations of its batch instead of k of each row, and the model gets a threshold for its
     codes, which follows the smallest activation kept. Decoder columns have length 1; gradients are clipped to norm 1;
-    the offset starts at the lower median (the mean of the parts'). An eighth is held out, and training ends when
+    the offset starts at the lower median (the mean of the parts'). Twelve percent are held out, and training ends when
     its loss hasn't fallen for ``patience`` epochs. ``history`` has the losses of each epoch and the rows learnt from.
     """
     rng = np.random.default_rng(seed)

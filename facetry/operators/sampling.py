@@ -99,6 +99,27 @@ def negatives(members: DataFrame, docs: DataFrame, features: DataFrame, k: int,
     return free.join(order, "at").select("feature_id", "ord", "doc_id")
 
 
+def of_other_topics(members: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(feature_id, other_id, ord, doc_id): ``k`` random members of every other feature, for each feature.
+
+    Drawn once for each feature and then set against all others, which makes rows of features times features times k.
+    """
+    drawn = stored(random_members(members, k, seed).select(F.col("feature_id").alias("other_id"), "ord", "doc_id"))
+    pairs = feature_pairs(members.select("feature_id").distinct())
+    return pairs.join(drawn, "other_id").select("feature_id", "other_id", "ord", "doc_id")
+
+
+def feature_pairs(features: DataFrame) -> DataFrame:
+    """(feature_id, other_id): all ordered pairs of different features, a stated set that is small by definition."""
+    ids = features.agg(F.sort_array(F.collect_set("feature_id")).alias("ids"))
+    return ids.select(F.explode("ids").alias("feature_id"), "ids").select("feature_id", F.explode("ids").alias("other_id")).where("feature_id <> other_id")
+
+
+def unseen(members: DataFrame, taken: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """``k`` random members of each feature that ``taken`` (feature_id, doc_id) doesn't hold; fewer where there are fewer."""
+    return random_members(members.join(taken.select("feature_id", "doc_id"), ["feature_id", "doc_id"], "left_anti"), k, seed)
+
+
 def sample(method: str, weights: DataFrame, members: DataFrame, docs: DataFrame, features: DataFrame, pos_k: int, neg_k: int, strata: int = 10, seed: int = 42) -> DataFrame:
     """(feature_id, polarity, ord, doc_id, weight): positives by ``method`` and random negatives; any other method raises ValueError."""
     ways = {

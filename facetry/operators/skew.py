@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.keys import feature_number, usable
+from facetry.sources.tables import stored
 
 #: Rows of one key that a task takes; keys that the sketch tells apart at least and at most, and how many more it tracks.
 TASK_ROWS, LEAST_KEYS, MOST_KEYS, TRACKED = 1_000_000, 256, 100_000, 10
@@ -71,6 +72,7 @@ def feature_results(members: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame
     table gives an empty result.
     """
     keys = ["saved_features", "feature_id"]
+    members = stored(members)  # keys are read once for the sketch and both parts
     heavy = heavy_keys(members, keys, task_rows)
     hot, rest = split_heavy(members, keys, heavy, task_rows)
 

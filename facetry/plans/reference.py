@@ -598,6 +598,39 @@ def prompt_build(s, d):
     return an.prompts(rows, docs, 20, ft.large_features(m, 30))
 
 
+@query(f"""with {C_SAE}, {C_ART}, {C_NEG}, pos as (select feature_id, row_number() over (partition by feature_id order by {C_KEY}, doc_id) - 1 as ord, doc_id from sae),
+ texts as (select feature_id, polarity, ord, case when len(string_split(text, ' ')) <= 12 then text else array_to_string(string_split(text, ' ')[1:12], ' ') || ' ...' end as t
+   from (select feature_id, 'pos' as polarity, ord, doc_id from pos where ord < 2 union all select feature_id, 'neg', ord, doc_id from negs where ord < 3) join art using (doc_id) where text is not null),
+ numbered as (select *, row_number() over (partition by feature_id, polarity order by ord) as k from texts)
+ select feature_id, coalesce(string_agg('Document ' || k || ': ' || t, chr(10) order by k) filter (polarity = 'pos'), '') as documents,
+   coalesce(string_agg('Document ' || k || ': ' || t, chr(10) order by k) filter (polarity = 'neg'), 'No documents') as others from numbered group by 1""")
+def prompt_negatives(s, d):
+    m = sae_members(s, d)
+    rows = stored(sampling.sample("random", m, m, m.select("doc_id").distinct(), m.select("feature_id").distinct(), 2, 3))
+    return an.prompts(rows, articles(s, d, "text", only=rows.select("doc_id")).where("text is not null"), 12)
+
+
+@query(f"with {C_SAE}, r as (select feature_id, doc_id, row_number() over (partition by feature_id order by {C_KEY}, doc_id) - 1 as ord from sae), t as (select feature_id, doc_id from r where ord < 3) "
+       f"select feature_id, (row_number() over (partition by feature_id order by {C_KEY}, doc_id) - 1)::int as ord, doc_id, weight from sae where (feature_id, doc_id) not in (select (feature_id, doc_id) from t) qualify row_number() over (partition by feature_id order by {C_KEY}, doc_id) <= 4")
+def sample_unseen(s, d):
+    """Members that an earlier sample doesn't hold."""
+    m = sae_members(s, d)
+    return sampling.unseen(m, sampling.random_members(m, 3), 4)
+
+
+@query(f"with {C_TD}, r as (select feature_id, doc_id, row_number() over (partition by feature_id order by {C_KEY}, doc_id) - 1 as ord from td where weight > 0) "
+       "select x.feature_id, r.feature_id as other_id, r.ord::int as ord, r.doc_id from (select distinct feature_id from r) x join r on x.feature_id <> r.feature_id where r.ord < 2")
+def sample_other_topics(s, d):
+    """Two documents of every other topic, for each topic."""
+    return sampling.of_other_topics(ft.members(topic_weights(s, d)), 2)
+
+
+@query("select doc_id, coalesce(try_cast(trim(source) as bigint) is not null, false) as source_is_int, try_cast(trim(case when doc_id % 3 = 0 then ' 12 ' when doc_id % 3 = 1 then '1x' end) as bigint) is not null as is_int from documents")
+def is_int(s, d):
+    text = F.when(F.col("doc_id") % 3 == 0, " 12 ").when(F.col("doc_id") % 3 == 1, "1x")
+    return table(s, d, "documents").select("doc_id", F.coalesce(tx.is_int(F.col("source")), F.lit(False)).alias("source_is_int"), tx.is_int(text).alias("is_int"))
+
+
 def _label_model(prompt: str) -> str:
     """A deterministic stand-in for a labelling model: JSON for two of three prompts, else words."""
     h = hashlib.md5(prompt.encode()).hexdigest()

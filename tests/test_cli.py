@@ -36,6 +36,8 @@ def test_from_features_to_report(spark, corpus, capsys):
         run(command, *feats, "--saved_embeddings", corpus / "e.json", "--k", 3, "--output_file", corpus / f"{command}.json")
         found = json.loads((corpus / f"{command}.json").read_text())
         assert (command == "score" or found["4"] == {"pos": {}, "neg": []}) and all(len(found[f]["pos"]) == 3 for f in "0123")
+    run("sweep", *feats, "--saved_embeddings", corpus / "e.json", "--ks", 1, 2, "--alphas", 0.1, "--output_dir", corpus)
+    assert len(json.loads((corpus / "pos2_neg0_dpp_alpha_0.1.json").read_text())["1"]["pos"]) == 2 and (corpus / "pos1_neg0_dpp_alpha_0.1.json").exists()
     run("label", *feats, "--dataset", data, "--samples", corpus / "topk.json", "--model", "tests.plugins:label", "--min_feature_size", 5, "--output_file", corpus / "l.json")
     found = json.loads((corpus / "l.json").read_text())
     assert found["3"]["topic"] == "no idea" and len(found["0"]["pos_docs"]) == 4
