@@ -14,12 +14,12 @@ from facetry.operators.components import connected_components
 from facetry.sources.tables import latest, stored
 
 #: Rows of a slot that nominates, rows of a cell compared in one task, most cell coordinates, rows taken by one round.
-SLOT_ROWS, CELL_ROWS, MOST_COORDINATES, ROUND_ROWS = 4096, 4096, 24, 160
-#: Cosine from which two records say the same, and width of a cell along a pivot direction.
-SAME, WIDTH = 0.999, 0.25
+SLOT_ROWS, CELL_ROWS, MOST_COORDINATES, ROUND_ROWS = 4096, 4096, 48, 160
+#: Cosine from which two records say the same.
+SAME = 0.999
 #: Random directions of the sketch by which the rows of a cell are compared first, rows that a cell should have at
 #: most on average, how often a row may be in a cell on average, and width of the bins that place the cells.
-SKETCH, AIM, REPEATS, BIN = 24, 256, 2.0, 0.01
+SKETCH, AIM, REPEATS, BIN = 24, 256, 6.0, 0.01
 
 
 def unit_rows(rows: DataFrame, col: str, width: int) -> DataFrame:
@@ -155,15 +155,43 @@ def _linked(ids: np.ndarray, x: np.ndarray, same: float, block: int = 512) -> tu
     return node, root
 
 
-def _grid(rows: DataFrame, basis: np.ndarray, apart: float, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The directions of ``basis`` to cut along and where each one's first cut lies, so that rows are seldom near a cut.
+def _cuts(shares: np.ndarray, n: int, apart: float, aim: float = AIM, most: float = REPEATS) -> list[np.ndarray]:
+    """Where to cut along each direction, from the shares of rows in bins along it (:func:`_grid`)."""
+    bins, reach = shares.shape[1], math.ceil(apart / BIN) + 1
+    upto = np.hstack([np.zeros((len(shares), 1)), np.cumsum(shares, axis=1)])
+    near = upto - np.hstack([np.zeros((len(shares), reach)), upto[:, :-reach]])  # rows less than apart below each edge
+    free = np.ones_like(upto, bool)
+    free[:, [0, -1]] = False
+    cuts: list[list[int]] = [[] for _ in shares]
+    met, extra, size, repeats = np.ones(len(shares)), np.zeros(len(shares)), float(n), 1.0
+    while size > aim and free.any():
+        # how much less likely two rows share a cell after a cut, for the repeats it costs
+        left = np.array([np.concatenate([np.repeat(upto[j, e[i]], e[i + 1] - e[i]) for i in range(len(e) - 1)] + [[1.0]]) for j, e in enumerate([0, *c, bins] for c in cuts)])
+        right = np.array([np.concatenate([np.repeat(upto[j, e[i + 1]], e[i + 1] - e[i]) for i in range(len(e) - 1)] + [[1.0]]) for j, e in enumerate([0, *c, bins] for c in cuts)])
+        after = np.maximum(met[:, None] - 2 * (upto - left) * (right - upto), 1e-9)
+        gain = np.where(free, np.log(met[:, None] / after) / (near + 0.001), 0.0)
+        j, c = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if gain[j, c] <= 0:
+            break
+        more = repeats * (1 + extra[j] + near[j, c]) / (1 + extra[j])
+        free[j, c] = False
+        if more > most:
+            continue
+        cuts[j] = sorted([*cuts[j], int(c)])
+        free[j, max(0, c - 2 * reach) : c + 2 * reach + 1] = False  # a row is near one cut of a direction at most
+        size, repeats = size * after[j, c] / met[j], more
+        met[j], extra[j] = after[j, c], extra[j] + near[j, c]
+    return [np.array(c) * BIN - 1 for c in cuts]
+
 
-    From one histogram along each direction (counted in the tasks, of a fixed size), the cuts, :data:`WIDTH`
-    apart, are moved to where the fewest rows lie just below one. Directions are taken, those first that part the most
-    rows for the repeats they cost, until cells have :data:`AIM` rows on average, or rows would be repeated
-    more than :data:`REPEATS` times.
+def _grid(rows: DataFrame, basis: np.ndarray, apart: float, n: int) -> list[np.ndarray]:
+    """Where to cut along the directions of ``basis`` so that rows are seldom near a cut.
+
+    From one histogram along each direction (counted in the tasks, of a fixed size), cuts are made one by one, each
+    time the one that parts the most rows for the repeats it costs, until cells have :data:`AIM` rows on
+    average, or rows would be repeated more than :data:`REPEATS` times.
     """
-    bins, per = int(round(2 / BIN)) + 2, int(round(WIDTH / BIN))
+    bins = int(round(2 / BIN)) + 2
 
     def run(batches):
         held = np.zeros((len(basis), bins), "int64")
@@ -174,35 +202,16 @@ def _grid(rows: DataFrame, basis: np.ndarray, apart: float, n: int) -> tuple[np.
         j, i = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(j.astype("int32")), pa.array(i.astype("int32")), pa.array(held[j, i])], names=["j", "i", "n"])
 
-    found = np.zeros((len(basis), bins))
+    shares = np.zeros((len(basis), bins))
     for r in rows.select("v").mapInArrow(run, "j int, i int, n bigint").groupBy("j", "i").agg(F.sum("n").alias("n")).collect():
-        found[r["j"], r["i"]] = r["n"] / n
-    reach = math.ceil(apart / BIN) + 1
-    choices = []
-    for j, h in enumerate(found):
-        upto = np.concatenate([[0], np.cumsum(h)])
-        best = None
-        for o in range(per):
-            cuts = np.arange(o, bins + 1, per)
-            near = (upto[cuts] - upto[np.maximum(cuts - reach, 0)]).sum()
-            shares = np.diff(upto[np.concatenate([[0], cuts, [bins]])])
-            met = float((shares * shares).sum())  # how likely two rows fall into one cell
-            score = -math.log(max(met, 1e-9)) / (near + 0.02)
-            if best is None or score > best[0]:
-                best = (score, float(near), met, o * BIN - 1)
-        choices.append((best, j))
-    taken, repeats, size = [], 1.0, float(n)
-    for (_, near, met, first), j in sorted(choices, key=lambda c: -c[0][0]):
-        if size > AIM and repeats * (1 + near) <= REPEATS and met < 0.98:
-            taken.append((j, first))
-            repeats, size = repeats * (1 + near), size * met
-    return np.array([j for j, _ in taken], "int64"), np.array([f for _, f in taken])
-
-
-def _in_cells(rows: DataFrame, basis: np.ndarray, first: np.ndarray, apart: float) -> DataFrame:
+        shares[r["j"], r["i"]] = r["n"] / n
+    return _cuts(shares, n, apart)
+
+
+def _in_cells(rows: DataFrame, basis: np.ndarray, cuts: list[np.ndarray], apart: float) -> DataFrame:
     """(cell, doc_id, z) with every row in each cell that it shares with a row at distance ``apart`` or less.
 
-    A cell is an interval along every direction of ``basis``. As projections never lengthen a distance,
+    A cell is an interval between ``cuts`` along every direction of ``basis``. As projections never lengthen a distance,
     two such rows lie in the same or in neighbouring intervals; a row less than ``apart`` below
     an upper edge also enters the next interval, so any such pair meets in at least one cell. z is a sketch:
     the row's projection to :data:`SKETCH` random directions, in which they aren't further apart either.
@@ -214,8 +223,9 @@ def _in_cells(rows: DataFrame, basis: np.ndarray, first: np.ndarray, apart: floa
         for b in batches:
             x = _matrix(b.column(1))
             z = (x @ random).astype("float32")
-            y = (x @ basis.T - first) / WIDTH
-            home, over = np.floor(y).astype("int64"), (np.ceil(y) - y) * WIDTH <= apart * 1.001
+            y = x @ basis.T
+            home, above = (np.stack([np.searchsorted(c, y[:, j] + d, side="right") for j, c in enumerate(cuts)], axis=1) for d in (0.0, apart * 1.001))
+            over = above > home
             owner, cells = np.arange(len(y)), home
             for j in range(y.shape[1]):
                 twice = over[owner, j]
@@ -344,8 +354,7 @@ def same_groups(rows: DataFrame, same: float = SAME) -> DataFrame:
     if n < 2:
         return connected_components(equal)
     basis = directions(units, MOST_COORDINATES, n)
-    chosen, first = _grid(units, basis, apart, n)
-    cells = stored(_in_cells(units, basis[chosen], first, apart))
+    cells = stored(_in_cells(units, basis, _grid(units, basis, apart, n), apart))
     large = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 8 * CELL_ROWS).select("cell"))
     crowded = not large.isEmpty()
     small = cells.join(large, "cell", "left_anti") if crowded else cells
