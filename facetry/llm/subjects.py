@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.sources.tables import latest, stored
+from facetry.sources.tables import latest, release, stored
 
 #: Labelled records that are learnt from at most, by a hash of their ids.
 LABELLED = 12_000
 #: Rows of the table of word and subword vectors, their width, and the lengths of subwords.
 BUCKETS, WIDTH, SUBWORDS = 1 << 16, 16, (4, 5)
 #: Gradient steps that go once through the sentences, how often they do, step size, and most partitions that share a step.
-STEPS, EPOCHS, RATE, MOST_LEARNERS = 30, 2, 0.5, 16
+STEPS, EPOCHS, RATE, MOST_LEARNERS = 30, 3, 0.5, 16
 #: Output from which a sentence treats an area beyond doubt, and by how much context may lift others.
 SURE, CONTEXT = 2.0, 1.5
 #: Words of a sentence whose vectors are remembered by a worker.
@@ -186,6 +186,7 @@ def labelled(documents: DataFrame, labels: DataFrame, wikitext: DataFrame, bills
                 break
             left, edge = left - r["n"], (r["i"] + 1) * width - 1
         least[later], left = edge if edge else -1, 0
+    release(known)
     few = F.broadcast(single.where(mark <= least[False]))  # at most ``bound`` rows
     hand = documents.select("doc_id", "text").join(few, "doc_id").select("text", "subject")
     wiki = latest(wikitext.where("doc_id is not null").where(mark <= least[True]), ["doc_id"], ["text", "supercategory"]).select("text", read("supercategory"))
@@ -260,6 +261,7 @@ def train(rows: DataFrame, areas: list[str], steps: int = STEPS, epochs: int = E
         seen[2] += g_bias * g_bias
         bias = bias - rate * g_bias / np.sqrt(seen[2])
         now.unpersist()
+    release(data)
     return Model(areas, v, out, bias)
 
 
