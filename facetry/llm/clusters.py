@@ -16,13 +16,15 @@ from pyspark.sql.window import Window
 
 from facetry.llm.words import terms_of
 from facetry.operators.components import connected_components
-from facetry.sources.tables import latest, stored
+from facetry.sources.tables import latest, release, stored
 
 #: Places that terms are hashed to, weight of the topic part, Lloyd passes for each level of splits.
 PLACES, TOPIC_WEIGHT, PASSES = 96, 0.7, 2
 #: A leaf is compact at this root mean square distance from its centre. Rows of a leaf that a task splits further
 #: by itself, and leaves whose centres the driver holds; larger and more leaves are split by joins.
 RADIUS, FEW_ROWS, MOST_LEAVES = 0.45, 32768, 1024
+#: Rows of sums (one for each task and leaf) that go to the driver as they are; more are merged by leaf before.
+MOST_SENT = 4096
 #: Two records are alike at this Jaccard similarity of terms, or this L1 distance of topics.
 ALIKE, TOPICS_APART = 0.5, 0.02
 #: Rows of one block that are compared with each other in a task.
@@ -78,7 +80,7 @@ def _dense(column, width: int) -> np.ndarray:
 
 
 def _sums(rows: DataFrame, tree: Tree, width: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """(rows, sum, sum of squares) of each leaf. Each task sends a few rows, pre-aggregated; at most :data:`MOST_LEAVES` reach the driver."""
+    """(rows, sum, sum of squares) of each leaf. Each task sends a row a leaf; at most :data:`MOST_SENT` reach the driver as they are, or :data:`MOST_LEAVES` merged ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -100,8 +102,14 @@ def _sums(rows: DataFrame, tree: Tree, width: int) -> dict[int, tuple[int, np.nd
         return pa.table({"leaf": table["leaf"][:1], "n": pa.array([int(table["n"].to_numpy().sum())], pa.int64()), "s": pa.array([total], pa.list_(pa.float64()))})
 
     schema = "leaf bigint, n bigint, s array<double>"
-    parts = rows.select("v").mapInArrow(run, schema).groupBy("leaf").applyInArrow(merge, schema)
-    return {leaf: (n, np.array(s[:width]), np.array(s[width:])) for leaf, n, s in parts.toArrow().to_pandas().itertuples(index=False)}
+    parts = rows.select("v").mapInArrow(run, schema)
+    if rows._jdf.rdd().getNumPartitions() * tree.left.count(-1) > MOST_SENT:  # else merged here, which saves a shuffle
+        parts = parts.groupBy("leaf").applyInArrow(merge, schema)
+    found: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    for leaf, n, s in sorted(parts.toArrow().to_pandas().itertuples(index=False), key=lambda r: (r[0], r[1], tuple(r[2][:8]))):
+        m, a, b = found.get(leaf, (0, 0.0, 0.0))
+        found[leaf] = (m + n, a + np.array(s[:width]), b + np.array(s[width:]))
+    return found
 
 
 def bisect(rows: DataFrame, width: int, radius: float = RADIUS, few: int = FEW_ROWS, most: int = MOST_LEAVES) -> tuple[Tree, dict[int, tuple[int, np.ndarray, float]]]:
@@ -276,6 +284,9 @@ def _settle(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
             part[rows], far[rows] = parts, np.sqrt(apart)
             parts += 1
             continue
+        if len(rows) == 2:
+            todo += [rows[1:], rows[:1]]
+            continue
         j = int(np.argmax(y.var(0)))
         right = y[:, j] > center[j]
         for _ in range(PASSES):
@@ -341,7 +352,9 @@ def _deeper(rows: DataFrame, width: int, radius: float, few: int) -> DataFrame:
             moved = sums.groupBy(F.shiftright("leaf", 1).alias("of")).applyInArrow(means, places).select(F.shiftright("leaf", 1).alias("leaf"), F.col("a").alias("na"), F.col("b").alias("nb"))
             # a pass that leaves one side empty is taken back
             planes = stored(planes.join(moved, "leaf", "left").select("leaf", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")))
+        old = rows
         rows = stored(rows.join(planes, "leaf", "left").select("doc_id", "leaf", "v", "a", "b").mapInArrow(half, "doc_id bigint, leaf bigint, v array<float>"))
+        release(old)
 
 
 def compact(rows: DataFrame, counts: DataFrame, radius: float = RADIUS, few: int = FEW_ROWS, most: int = MOST_LEAVES) -> DataFrame:
@@ -384,7 +397,9 @@ def compact(rows: DataFrame, counts: DataFrame, radius: float = RADIUS, few: int
         out.append(split(placed))
     if len(loose) < len(leaves):
         out.append(assigned(vectors, tree, leaves).where(~F.col("leaf").isin(list(loose))).withColumn("leaf", F.shiftleft(F.col("leaf") + base, 16)))
-    return stored(reduce(DataFrame.unionByName, out))
+    found = stored(reduce(DataFrame.unionByName, out))
+    release(vectors)
+    return found
 
 
 def _from_centres(rows: DataFrame, width: int) -> DataFrame:
@@ -487,16 +502,56 @@ def _sliced(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes.select(key, slices.alias("slices")), key).withColumn("part", F.explode(pairs)).drop("slices")
 
 
+def _alike_sets(a: str, b: str):
+    both = F.size(F.array_intersect(a, b))
+    return 2 * both >= F.size(a) + F.size(b) - both
+
+
+def _led(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links to one leader in each ``large`` leaf, and (leaf, doc_id, part) of what has to be compared besides.
+
+    Rows alike to the leader are one set already, so only the others have to meet all rows: where
+    they are few they are copied to every slice of the leaf, else all pairs of slices meet. A leaf of near
+    copies, however large, so costs one comparison a row.
+    """
+    lead = rows.join(large.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("leaf", F.col("doc_id").alias("lead"), F.col("terms").alias("lead_terms"))
+    near = stored(rows.join(lead, "leaf").select("leaf", "doc_id", "lead", _alike_sets("terms", "lead_terms").alias("near")))
+    counts = near.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("others")).where("others > 0")
+    slices = F.ceil(F.col("n") / (BLOCK_ROWS // 2))
+    s = F.pmod(F.xxhash64("doc_id"), F.col("slices"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)
+    pairs = F.transform(every, lambda o: F.least(o, s) * F.col("slices") + F.greatest(o, s))
+    parts = F.when(F.col("others") > BLOCK_ROWS, pairs).when(F.col("near"), F.array(s)).otherwise(every)
+    placed = near.join(counts.select("leaf", "others", slices.alias("slices")), "leaf").select("leaf", "doc_id", F.explode(parts).alias("part"))
+    return near.where("near and doc_id <> lead").select("doc_id", F.col("lead").alias("root")), placed
+
+
 def _in_leaves(rows: DataFrame) -> DataFrame:
-    """Links within each leaf, as stars."""
-    placed = _sliced(rows.select("leaf", "doc_id"), "leaf").join(rows.select("doc_id", "terms", "sig"), "doc_id")
-    return placed.select("leaf", "part", "doc_id", "terms", "sig").repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(_link_leaves, _EDGE)
+    """Links within each leaf, as stars; one above :data:`BLOCK_ROWS` rows goes through :func:`_led`."""
+    sizes = stored(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1"))
+    placed = rows.join(sizes.where(F.col("n") <= BLOCK_ROWS).select("leaf"), "leaf", "left_semi").select("leaf", F.lit(0).cast("bigint").alias("part"), "doc_id", "terms", "sig")
+    large, links = sizes.where(F.col("n") > BLOCK_ROWS), None
+    if not large.isEmpty():
+        links, more = _led(rows, large)
+        placed = placed.unionByName(more.join(rows.select("doc_id", "terms", "sig"), "doc_id").select(placed.columns))
+    found = placed.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(_link_leaves, _EDGE)
+    return found if links is None else found.unionByName(links)
+
+
+#: Bits of an entry's place in its record and of the record's size, of which :func:`_packed` makes one number with the part.
+BITS = 22
+
+
+def _packed(part, size, at):
+    """Part, size and place as one number, by which entries of a term are sorted."""
+    return ((part + 1) << 2 * BITS) | (size << BITS) | at
 
 
 def _prefixes(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
-    """(term, part, doc_id, leaf, size, at, s0.., h0..): the terms at which a record may meet an alike one, with their place.
+    """(term, key, doc_id, leaf, sig): the terms at which a record may meet an alike one.
 
-    s0.. are the signature folded in half, h0.. its second half, null for records of up to :data:`LONG` terms.
+    key is the entry's part, the record's size and the term's place in it (:func:`_packed`).
+    sig is the signature folded in half, and for records of more than :data:`LONG` terms also its second half.
     part is -1 but for ``common`` terms (with their numbers of records, rarest first) of more than :data:`BLOCK_ROWS`
     records, whose rows it spreads over tasks.
 
@@ -504,8 +559,6 @@ def _prefixes(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
     the rarest. Two alike records of sizes s <= t share at least (s + t) / 3 terms, so the first
     they share is among the first s / 3 + 1 of the smaller and the first t / 2 + 1 of the larger.
     """
-    words = [f"{c}{i}" for c in "sh" for i in range(HALF)]
-    names = ["term", "part", "doc_id", "leaf", "size", "at", *words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array([t for t, _ in common], "int64")
@@ -524,18 +577,21 @@ def _prefixes(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
             at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             kept = at <= np.repeat(size // 2, size)
             of, terms, at, parts = owner[order][kept], flat[order][kept], at[kept], spread[rank[order][kept]]
-            ids = b.column(0).to_numpy()
-            part = np.where(parts > 1, ids[of] % np.maximum(parts, 1), -1)
+            part = np.where(parts > 1, b.column(0).to_numpy()[of] % np.maximum(parts, 1), -1)
+            key = _packed(part, size[of], at)
             sig = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS)
-            folded, short = sig[:, :HALF] ^ sig[:, HALF:], size <= LONG
+            folded = sig[:, :HALF] ^ sig[:, HALF:]
+            sigs = pa.array([f.tobytes() if n <= LONG else f.tobytes() + h.tobytes() for f, h, n in zip(folded, sig[:, HALF:], size)], pa.binary())
             for j in range(0, len(of), 1 << 16):
-                e = slice(j, j + (1 << 16))
-                o = of[e]
-                cols = [terms[e], part[e].astype("int32"), ids[o], b.column(1).to_numpy()[o], size[o].astype("int32"), at[e].astype("int32"), *(folded[o, k] for k in range(HALF))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *(pa.array(sig[o, HALF + k], mask=short[o]) for k in range(HALF))], names=names)
+                o = pa.array(of[j : j + (1 << 16)])
+                cols = [pa.array(terms[j : j + (1 << 16)]), pa.array(key[j : j + (1 << 16)]), b.column(0).take(o), b.column(1).take(o), sigs.take(o)]
+                yield pa.RecordBatch.from_arrays(cols, names=["term", "key", "doc_id", "leaf", "sig"])
+
+    return rows.select("doc_id", "leaf", "terms", "sig").mapInArrow(run, "term bigint, key bigint, doc_id bigint, leaf bigint, sig binary")
 
-    schema = "term bigint, part int, doc_id bigint, leaf bigint, size int, at int, " + ", ".join(f"{w} bigint" for w in words)
-    return rows.select("doc_id", "leaf", "terms", "sig").mapInArrow(run, schema)
+
+def _starts(term: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])]))
 
 
 def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -544,10 +600,14 @@ def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     Rows come in the order of terms and sizes; those of a term are compared at every distance in
     the order, all terms of the block at once.
     """
-    term, part, ids, leaf = (block[c].to_numpy() for c in ("term", "part", "doc_id", "leaf"))
-    size, at = block["size"].to_numpy().astype("int64"), block["at"].to_numpy()
-    sig, high = (np.stack([block[f"{c}{i}"].fill_null(0).to_numpy() for i in range(HALF)], 1).view("uint64") for c in "sh")
-    begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])]))
+    term, key, ids, leaf = (block[c].to_numpy() for c in ("term", "key", "doc_id", "leaf"))
+    size, at = (key >> BITS) & ((1 << BITS) - 1), key & ((1 << BITS) - 1)
+    sigs = block["sig"].combine_chunks()
+    sigs = sigs.chunk(0) if isinstance(sigs, pa.ChunkedArray) else sigs
+    first = np.frombuffer(sigs.buffers()[1], "int32")[sigs.offset : sigs.offset + len(sigs)] >> 3
+    words = np.frombuffer(sigs.buffers()[2], "uint64", count=len(sigs.buffers()[2]) >> 3)
+    sig = words[first[:, None] + np.arange(HALF)]
+    begins = _starts(term, key >> 2 * BITS)
     end = np.repeat(np.append(begins[1:], len(term)), np.diff(np.append(begins, len(term))))
     found_a, found_b, rows, step = [], [], np.flatnonzero(at <= size // 3), 1
     while len(rows := rows[rows + step < end[rows]]):
@@ -557,13 +617,17 @@ def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         # terms they can still share from here on
         ok = (3 * np.minimum(size[a] - at[a], size[b] - at[b]) >= size[a] + size[b]) & (leaf[a] != leaf[b])
         a, b = a[ok], b[ok]
-        ok = 3 * np.bitwise_count(sig[a] ^ sig[b]).sum(1) <= size[a] + size[b]
-        a, b = a[ok], b[ok]
-        apart = high[a] ^ high[b]
-        apart = np.bitwise_count(apart).sum(1) + np.bitwise_count(apart ^ sig[a] ^ sig[b]).sum(1)
-        ok = (size[a] <= LONG) | (3 * apart.astype("int64") <= size[a] + size[b])
-        found_a.append(ids[a[ok]])
-        found_b.append(ids[b[ok]])
+        both = sig[a] ^ sig[b]
+        ok = 3 * np.bitwise_count(both).sum(1) <= size[a] + size[b]
+        a, b, both = a[ok], b[ok], both[ok]
+        if len(long := np.flatnonzero(size[a] > LONG)):
+            apart = words[first[a[long], None] + np.arange(HALF, WORDS)] ^ words[first[b[long], None] + np.arange(HALF, WORDS)]
+            apart = np.bitwise_count(apart).sum(1) + np.bitwise_count(apart ^ both[long]).sum(1)
+            ok = np.ones(len(a), bool)
+            ok[long] = 3 * apart.astype("int64") <= size[a[long]] + size[b[long]]
+            a, b = a[ok], b[ok]
+        found_a.append(ids[a])
+        found_b.append(ids[b])
         step += 1
     a, b = (np.concatenate([np.zeros(0, "int64"), *x]) for x in (found_a, found_b))
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -571,45 +635,39 @@ def _meeting(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(entries: DataFrame) -> DataFrame:
-    """(a, b): the pairs of :func:`_meeting` over all terms, stored.
+    """(a, b): the pairs of :func:`_meeting` over all terms.
 
     One shuffle by term, whose tasks compare the rows of each term as they come; of a
     term with more than :data:`BLOCK_ROWS` rows they only pass the rows on (b null), and all such rows are then
     compared in pairs of slices, each by a task of its own.
     """
-    fields = [f.name for f in entries.schema.fields]
-    late = [f for f in fields if f not in ("term", "part", "doc_id")]
-    schema = "a bigint, b bigint, term bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields if f.name in late)
-
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(a), entry_types[f]) for f in ("term", *late)]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names=["a", "b", "term", *late])
-
-    entry_types = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.int64() for f in entries.schema.fields}
+    names = ["a", "b", "term", "key", "leaf", "sig"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def passed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = pa.table({"a": rows["doc_id"], "b": pa.nulls(len(rows), pa.int64()), "term": rows["term"], **{f: rows[f] for f in late}})
+        table = pa.table([rows["doc_id"], pa.nulls(len(rows), pa.int64()), *(rows[c] for c in names[2:])], names=names)
         yield from table.combine_chunks().to_batches()
 
     def run(limit: int | None):
         def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if limit is not None:
-                term, part = table["term"].to_numpy(), table["part"].to_numpy()
+                term = table["term"].to_numpy()
                 begins = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                 n = np.diff(np.append(begins, len(term)))
-                large = np.repeat(n > limit, n) | (part >= 0)
+                large = np.repeat(n > limit, n) | (table["key"].to_numpy() >> 2 * BITS > 0)
                 if large.any():
                     yield from passed(table.filter(pa.array(large)))
                     table = table.filter(pa.array(~large)).combine_chunks()
             if len(table):
-                yield out(*_meeting(table))
+                a, b = _meeting(table)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in types[2:])], names=names)
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
             rows, over = 0, None
             for batch in batches:
                 if over is not None:  # a term that has been found too large goes on
-                    same = np.asarray(batch.column("term").to_numpy() == over)
+                    same = batch.column("term").to_numpy() == over
                     if same.any():
                         yield from passed(pa.Table.from_batches([batch.filter(pa.array(same))]))
                         batch = batch.filter(pa.array(~same))
@@ -620,8 +678,8 @@ def _candidates(entries: DataFrame) -> DataFrame:
                 rows += batch.num_rows
                 if rows >= 1 << 16:
                     table = pa.Table.from_batches(held).combine_chunks()
-                    term, part = table["term"].to_numpy(), table["part"].to_numpy()
-                    cut = int(np.flatnonzero((term != term[-1]) | (part != part[-1]))[-1]) + 1 if (term[0], part[0]) != (term[-1], part[-1]) else 0  # the last group may go on
+                    term = table["term"].to_numpy()
+                    cut = int(_starts(term, table["key"].to_numpy() >> 2 * BITS)[-1])  # the last group may go on
                     if cut:
                         yield from compared(table.slice(0, cut).combine_chunks())
                     table = table.slice(cut)
@@ -636,13 +694,17 @@ def _candidates(entries: DataFrame) -> DataFrame:
         return go
 
     def sorted_in(df: DataFrame) -> DataFrame:
-        return df.select(*fields).repartition("term", "part").sortWithinPartitions("term", "part", "size", "doc_id")
+        df = df.select("term", "key", "doc_id", "leaf", "sig")
+        return df.repartition("term", F.shiftright("key", 2 * BITS)).sortWithinPartitions("term", "key")
 
+    schema = "a bigint, b bigint, term bigint, key bigint, leaf bigint, sig binary"
     found = stored(sorted_in(entries).mapInArrow(run(BLOCK_ROWS), schema))
     large = found.where("b is null")
     pairs = found.where("b is not null").select("a", "b")
     if not large.isEmpty():
-        again = _sliced(large.select("term", F.col("a").alias("doc_id"), *late), "term").withColumn("part", F.col("part").cast("int"))
+        again = _sliced(large.select("term", F.col("a").alias("doc_id"), "key", "leaf", "sig"), "term")
+        inside = F.col("key").bitwiseAND((1 << 2 * BITS) - 1)
+        again = again.withColumn("key", F.shiftleft(F.col("part") + 1, 2 * BITS).bitwiseOR(inside))
         pairs = pairs.unionByName(sorted_in(again).mapInArrow(run(None), schema).select("a", "b"))
     return pairs.distinct()
 
@@ -664,11 +726,12 @@ def term_links(rows: DataFrame, leaves: DataFrame, counts: DataFrame) -> DataFra
     equal, single = _thin(rows.where(F.size("terms") > 0))
     single = stored(single.select("doc_id", "terms", "sig").join(leaves.select("doc_id", "leaf"), "doc_id"))
     common = [(r["term"], r["d"]) for r in counts.orderBy(F.col("d").desc(), "term").limit(COMMON).collect()][::-1]
-    found = _candidates(_prefixes(single, common))
-    sets = single.select("doc_id", "terms")
+    found = stored(_candidates(_prefixes(single, common)))
+    # only the sets that occur in a pair, stored so that the joins know their size
+    named = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
+    sets = stored(single.select("doc_id", "terms").join(named, "doc_id", "left_semi"))
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("terms").alias(f"t{c}")) for c in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    across = found.join(x, "a").join(y, "b").where(2 * both >= F.size("ta") + F.size("tb") - both).select(F.col("b").alias("doc_id"), F.col("a").alias("root"))
+    across = found.join(x, "a").join(y, "b").where(_alike_sets("ta", "tb")).select(F.col("b").alias("doc_id"), F.col("a").alias("root"))
     return reduce(DataFrame.unionByName, [equal, _in_leaves(single), across])
 
 

@@ -175,7 +175,7 @@ def test_alike_records(spark, monkeypatch):
     words = [f"w{i}" for i in range(60)]
     base = [list(rng.choice(words, rng.integers(3, 14), replace=False)) for _ in range(40)]
     texts = [(i, " ".join(rng.choice(b, max(1, int(len(b) * rng.uniform(0.5, 1))), replace=False))) for i, b in enumerate(base * 4)]
-    texts += [(500 + i, "hot " + " ".join(words[:10]) + f" v{i % 9}") for i in range(80)]
+    texts += [(500 + i, "hot " + " ".join(words[:10]) + f" v{i % 40}") for i in range(80)]
     texts += [(700, None), (701, ""), (702, " "), (703, None), (704, texts[0][1].upper())]
     topics = {i: (rng.dirichlet([0.3] * 4)).round(3).tolist() for i, _ in texts}
     topics |= {700: topics[3], 701: [x + 0.004 for x in topics[3]], 702: None, 703: [0.25, None, 0.25, 0.5]}
