@@ -260,7 +260,7 @@ def train(rows: DataFrame, areas: list[str], steps: int = STEPS, epochs: int = E
         out = out - rate * g_out / np.sqrt(seen[1])
         seen[2] += g_bias * g_bias
         bias = bias - rate * g_bias / np.sqrt(seen[2])
-        now.unpersist()
+        now.destroy()  # its file on the driver too, as there is one for every step
     release(data)
     return Model(areas, v, out, bias)
 
