@@ -15,6 +15,10 @@ from facetry.operators.ranking import grouped_rank
 from facetry.sources.tables import stored
 
 
+#: Documents that are put in order by one task.
+FEW = 100_000
+
+
 def draw_key(seed: int) -> Column:
     """A key by which rows of a feature come in an order that is as good as random."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), "feature_id", "doc_id"))
@@ -68,23 +72,33 @@ def stratified_members(members: DataFrame, k: int, strata: int = 10, seed: int =
 def negatives(members: DataFrame, docs: DataFrame, features: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Documents that are no members of the feature, each as likely as any other: feature_id, ord, doc_id.
 
-    Documents come in one random order for all features, ranked without a single-task sort. A
-    feature looks at the first of that order, as many as will hold k others if its members are spread evenly, and only
-    if they don't at four times as many. So only the memberships of these few documents are counted, not all,
-    and a feature with nearly all documents unfolds its places in blocks over several tasks.
+    Documents come in one random order for all features, of which only as many are ranked as any
+    feature needs (without a single-task sort where these are more than :data:`FEW`). A feature looks at the
+    first of that order, as many as will hold k others if its members are spread evenly, and at four times
+    as many only if they don't. So only the memberships of these documents are counted, not all, and a
+    feature with nearly all documents unfolds its places in blocks over several tasks.
     """
     if k <= 0:
         return features.limit(0).select("feature_id", F.lit(0).alias("ord"), F.lit(0).cast("bigint").alias("doc_id"))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id"))
-    order = stored(grouped_rank(docs.select("doc_id", F.lit(0).alias("g"), key.alias("key")), "g", ["key", "doc_id"]).select("doc_id", F.col("place").alias("at")))
-    total = docs.count()
+    keyed = stored(docs.select("doc_id", F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id")).alias("key")))
+    total = keyed.count()
+
+    def ordered(most: int) -> DataFrame:
+        """(doc_id, at): the first ``most`` documents, at least."""
+        if most <= FEW:
+            first = keyed.orderBy("key", "doc_id").limit(most)
+            return stored(first.select("doc_id", (F.row_number().over(Window.orderBy("key", "doc_id")) - 1).cast("bigint").alias("at")))
+        ranked = grouped_rank(keyed.withColumn("g", F.lit(0)), "g", ["key", "doc_id"])
+        return stored(ranked.select("doc_id", F.col("place").alias("at")).where(F.col("at") < most))
+
     n = members.groupBy("feature_id").agg(F.count(F.lit(1)).alias("m"))
     others = F.greatest(F.lit(total) - F.coalesce("m", F.lit(0)), F.lit(1))
     first = F.least(F.lit(total), F.ceil(F.lit(2.0 * k * total) / others) + 8).cast("bigint")
     reach = stored(features.select("feature_id").join(n, "feature_id", "left").select("feature_id", first.alias("reach")))
     while True:
         most = reach.agg(F.max("reach")).head()[0] or 0
-        seen = members.select("feature_id", "doc_id").join(order.where(F.col("at") < most), "doc_id").join(reach, "feature_id").where("at < reach")
+        order = ordered(most)
+        seen = members.select("feature_id", "doc_id").join(order, "doc_id").join(reach, "feature_id").where("at < reach")
         seen = stored(seen.select("feature_id", "at").distinct())
         met = seen.groupBy("feature_id").agg(F.count(F.lit(1)).alias("c"))
         short = reach.join(met, "feature_id", "left").select("feature_id", "reach", ((F.col("reach") - F.coalesce("c", F.lit(0)) < k) & (F.col("reach") < total)).alias("short"))

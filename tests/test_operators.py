@@ -281,7 +281,9 @@ def test_explanations_are_fetched_once():
     assert [ac.fetched_explanation(i, cache, fetch) for i in (1, 1, 0)] == ["d1", "d1", "<no explanation field found in JSON>"] and asked == [1, 0]
 
 
-def test_negatives_of_nearly_full_features(spark):
+@pytest.mark.parametrize("few", [100_000, 5])
+def test_negatives_of_nearly_full_features(spark, monkeypatch, few):
+    monkeypatch.setattr(sampling, "FEW", few)
     m = spark.createDataFrame([(1, i, 1.0) for i in range(300) if i not in (7, 250)] + [(2, i, 1.0) for i in range(200)] + [(2, 5, 1.0)], WEIGHTS)
     docs = spark.range(300).select(F.col("id").alias("doc_id"))
     got = sampling.negatives(m, docs, spark.createDataFrame([(1,), (2,), (3,)], "feature_id int"), 4).collect()
