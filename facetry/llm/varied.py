@@ -429,14 +429,14 @@ def varied_subset(rows: DataFrame, k: int) -> DataFrame:
     while taken < k and n > taken:
         asked = min(ROUND_ROWS, k - taken)
         more = stored(tournament(rows, asked, n - taken, known))
-        ids = more.select("doc_id", F.lit(turn).alias("round"), "place")
-        got = more.count()
+        picked = sorted((r["place"], r["v"]) for r in more.collect())  # at most ROUND_ROWS rows
+        ids, got = more.select("doc_id", F.lit(turn).alias("round"), "place"), len(picked)
         if got:
             found = ids if found is None else found.unionByName(ids)
-            rows = rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")  # at most ROUND_ROWS ids
+            rows = rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_anti")  # as many ids
             taken, turn = taken + got, turn + 1
-        if got == asked:  # at most ROUND_ROWS rows reach the driver
-            new = np.array([r["v"] for r in more.orderBy("place").select("v").collect()]).T
+        if got == asked:
+            new = np.array([v for _, v in picked]).T
             q, _ = np.linalg.qr(new if known is None else np.hstack([known.T, new]))
             known = q.T
         elif got or known is not None:
