@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from facetry.functions import text as tx
 from facetry.functions.keys import feature_number
 from facetry.operators import activations as ac
-from facetry.operators import annotate, coherence, features, metrics, sae, sampling, selection, skew, topics
+from facetry.operators import annotate, coherence, features, gibbs, metrics, sae, sampling, selection, skew, topics
 from facetry.operators.components import connected_components
 from facetry.operators.ranking import grouped_rank
 from facetry.plans import reference
@@ -254,6 +255,61 @@ def test_topics_of_all_documents_and_words(spark):
     assert topics._ended([-9.0, -7.0, -8.0, -9.0])
 
 
+def two_subjects(n, rng):
+    """Records of words of one of two subjects, some of them long, each with a word of its own; and their subjects."""
+    return [(i, [f"{'ab'[i % 2]}{j}" for j in rng.integers(0, 12, 150 if i % 10 < 2 else 20)] + [f"only{i}"]) for i in range(n)]
+
+
+def test_topics_end_by_the_likelihood(spark, monkeypatch):
+    seen, ended = [], topics._ended
+    monkeypatch.setattr(topics, "_ended", lambda found: seen.append(len(found)) or ended(found))
+    words = np.random.default_rng(3).integers(0, 40, (80, 30))
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in row]) for i, row in enumerate(words)], "doc_id bigint, t array<string>")
+    topics.fit_topics(docs, "t", 2, max_iterations=1000)
+    assert 4 <= seen[-1] < 100  # variational Bayes never gets worse, so it took all the iterations
+
+
+@pytest.mark.parametrize("block, few", [(1_000_000, 64), (700, 64), (700, 2)])
+def test_topics_in_blocks_count_every_token(spark, monkeypatch, block, few):
+    monkeypatch.setattr(topics, "BLOCK", block)
+    monkeypatch.setattr(topics, "FEW", few)
+    docs = two_subjects(60, np.random.default_rng(4)) + [(60, None), (61, ["a1", None])]
+    df = spark.createDataFrame(docs, "doc_id bigint, t array<string>")
+    found = topics.fit_topics(df, "t", 2, max_iterations=30)
+    again = topics.fit_topics(df.repartition(3), "t", 2, max_iterations=30)
+    rows = {n: {tuple(r[:-1]): r.p for r in found[n].select(*k, "p").collect()} for n, k in (("topic_word", ["topic_id", "word_id"]), ("doc_topic", ["doc_id", "topic_id"]))}
+    assert rows["doc_topic"] == {(r.doc_id, r.topic_id): r.p for r in again["doc_topic"].collect()}
+    main = {i: max((0, 1), key=lambda t: rows["doc_topic"][i, t]) for i in range(60)}
+    assert {main[i] for i in range(0, 60, 2)} != {main[i] for i in range(1, 60, 2)} and len(set(main.values())) == 2
+    assert rows["doc_topic"][60, 0] == 0.5 and len(rows["doc_topic"]) == 124
+    # from the probabilities every topic's count of each word comes back, and they add up to the corpus
+    n = Counter(w for _, t in docs for w in t or [] if w)
+    words = {r.word_id: r.word for r in found["vocab"].collect()}
+    assert Counter(words.values()) == Counter(n.keys()) and [n[words[i]] for i in range(len(n))] == sorted(n.values(), reverse=True)
+    least = [min(rows["topic_word"][t, i] for i in words) for t in (0, 1)]  # of a word that the topic doesn't have
+    got = {words[i]: [rows["topic_word"][t, i] / least[t] * gibbs.ETA - gibbs.ETA for t in (0, 1)] for i in words}
+    assert all(np.allclose(x, np.round(x), atol=1e-6) and round(sum(x)) == n[w] for w, x in got.items())
+
+
+def test_likelihood_and_prior_of_topics():
+    z, docs, w = np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 1]), np.array([0, 0, 1, 1, 2])  # the word 2 occurs once
+    alpha, e = np.array([0.3, 0.6]), gibbs.ETA
+    want = 0.0
+    for d in (0, 1):
+        n = [((docs == d) & (z == t)).sum() for t in (0, 1)]
+        want += math.lgamma(0.9) - math.lgamma(0.9 + sum(n)) + sum(math.lgamma(a + x) - math.lgamma(a) for a, x in zip(alpha, n))
+    for t in (0, 1):
+        want += math.lgamma(3 * e) - math.lgamma(3 * e + (z == t).sum()) + sum(math.lgamma(e + ((w == v) & (z == t)).sum()) - math.lgamma(e) for v in range(3))
+    sizes, lens = np.array([[0, 2, 0, 0], [0, 1, 1, 0]]), np.array([0, 0, 1, 1])
+    assert np.isclose(gibbs.log_likelihood(np.array([[2, 0], [0, 2]]), np.array([2, 3]), alpha, sizes, lens, 3), want / 5)
+    rng = np.random.default_rng(0)
+    n = np.array([rng.multinomial(50, rng.dirichlet([0.5, 2.0])) for _ in range(4000)])
+    sizes, got = np.array([np.bincount(n[:, t], minlength=51) for t in (0, 1)]), np.full(2, 0.1)
+    for _ in range(30):
+        got = gibbs.fitted_alpha(got, sizes, np.bincount([50] * 4000, minlength=51))
+    assert np.allclose(got, [0.5, 2.0], rtol=0.1)
+
+
 def test_json_round_trips(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "a.json").write_text("\n".join(json.dumps({"id": str(i), "text": f"t{i}", "tokenized_text": "x y"}) for i in range(5)))
