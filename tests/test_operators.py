@@ -291,6 +291,14 @@ def test_topics_in_blocks_count_every_token(spark, monkeypatch, block, few):
     assert all(np.allclose(x, np.round(x), atol=1e-6) and round(sum(x)) == n[w] for w, x in got.items())
 
 
+def test_driver_holds_only_words_that_occur_again(spark, monkeypatch):
+    held, sampled = [], topics._sampled
+    monkeypatch.setattr(topics, "_sampled", lambda *a: held.append(a[4]) or sampled(*a))
+    df = spark.createDataFrame([(i, ["all", f"only{i}"]) for i in range(20)], "doc_id bigint, t array<string>")
+    found = topics.fit_topics(df, "t", 2, max_iterations=10)
+    assert held == [1] and found["topic_word"].count() == 42
+
+
 def test_likelihood_and_prior_of_topics():
     z, docs, w = np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 1]), np.array([0, 0, 1, 1, 2])  # the word 2 occurs once
     alpha, e = np.array([0.3, 0.6]), gibbs.ETA
