@@ -299,6 +299,23 @@ def test_driver_holds_only_words_that_occur_again(spark, monkeypatch):
     assert held == [1] and found["topic_word"].count() == 42
 
 
+@pytest.mark.parametrize("records", [3, 10_000])
+def test_topics_of_texts_are_those_of_their_tokens(spark, monkeypatch, records):
+    monkeypatch.setattr(topics, "BLOCK", 300)  # several blocks, of several batches each
+    rows = [(f"r{i}", " ".join(t)) for i, t in two_subjects(40, np.random.default_rng(7))] + [("none", None), ("empty", ""), ("gaps", " a1  only1 "), ("wide", "a1\tb1 \u00e9\u4e2d")]
+    df = spark.createDataFrame(rows, "doc_id string, t string")
+    lists = topics.fit_topics(df.select("doc_id", F.split("t", " ").alias("t")), "t", 2, max_iterations=10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        found = topics.fit_topics(df.repartition(2), "t", 2, max_iterations=10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("vocab", "topic_word", "doc_topic"):
+        assert sorted(map(tuple, found[n].collect())) == sorted(map(tuple, lists[n].collect()))
+    assert {r.word for r in found["vocab"].collect()} == {w for _, t in rows if t is not None for w in t.split(" ")}
+    assert found["doc_topic"].where("doc_id = 'none' and p = 0.5").count() == 2 and found["doc_topic"].count() == 88
+
+
 def test_likelihood_and_prior_of_topics():
     z, docs, w = np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 1]), np.array([0, 0, 1, 1, 2])  # the word 2 occurs once
     alpha, e = np.array([0.3, 0.6]), gibbs.ETA
